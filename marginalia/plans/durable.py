@@ -1,0 +1,25 @@
+"""Cutting lineage at durable storage."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a local one only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="marginalia-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written once to the checkpoint folder, without their history."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
