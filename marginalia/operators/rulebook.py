@@ -71,13 +71,20 @@ def from_document(document: DataFrame) -> Rulebook:
         F.coalesce(F.col("exact_rules"), F.array()),
         lambda r: r.isNull() | ~F.coalesce(r["status"].isin(*fixed.STATUSES), F.lit(False)),
     )
+
+    def has_null(name: str) -> Column:
+        return F.exists(F.coalesce(F.col(name), F.array()), lambda w: w.isNull())
+
     checks = document.agg(
         F.coalesce(F.bool_and(F.col("schema_version").eqNullSafe(1)), F.lit(False)).alias("version"),
         F.bool_or(bad_rules).alias("bad_rules"),
+        F.bool_or(has_null("protected_spelling_terms") | has_null("safe_typo_targets")).alias("bad_words"),
         F.first(F.coalesce("rules_version", F.lit("custom"))).alias("rules_version"),
     ).first()
     if not checks["version"]:
         raise RulebookError("unsupported rules schema, expected schema_version 1")
+    if checks["bad_words"]:
+        raise RulebookError("terms and targets must be lists of texts")
     if checks["bad_rules"]:
         raise RulebookError("every exact rule needs a valid status")
     rules = document.select(F.posexplode("exact_rules").alias("pos", "rule")).select(
