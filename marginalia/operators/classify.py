@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from marginalia import fixed
 from marginalia.fixed import APPROVED, COMMENTS, NEEDS_CHANGE, REJECTED
 from marginalia.functions import text as tx
+from marginalia.operators import joins
 from marginalia.operators import rulebook as rb
-from marginalia.operators.joins import first_per_key, lookup_join
 
 
 def verdict(status: str, comment: str | Column = "") -> Column:
@@ -51,44 +51,60 @@ def confidence_flags(findings: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------- exact rules
-def rules_by_mask(rules: DataFrame) -> list[tuple[tuple[str, ...], DataFrame]]:
-    """Split ordered wildcard rules into plain lookups, one per set of fixed fields.
-
-    Of the sixteen possible sets only those in use are kept; in each, the first rule
-    per key is the only one that can win.
-    """
-    fixed_fields = {k: F.col(k).isNotNull() & (F.col(k) != "*") for k in rb.RULE_KEYS}
-    mask = F.concat(*[F.when(is_set, "1").otherwise("0") for is_set in fixed_fields.values()])
-    masked = rules.select(
-        mask.alias("mask"), *rb.RULE_KEYS, "rule_rank", "status",
+def masked_rules(rules: DataFrame) -> DataFrame:
+    """Rules with a ``mask`` that says which fields are fixed ('1') or free ('0')."""
+    bits = [
+        F.when(F.col(k).isNotNull() & (F.col(k) != "*"), "1").otherwise("0") for k in rb.RULE_KEYS
+    ]
+    return rules.select(
+        F.concat(*bits).alias("mask"), *rb.RULE_KEYS, "rule_rank", "status",
         tx.present(F.col("comment")).alias("comment"),
     )
-    out = []
-    for row in sorted(masked.select("mask").distinct().collect()):  # at most 16 rows
-        names = tuple(k for k, bit in zip(rb.RULE_KEYS, row["mask"]) if bit == "1")
-        part = masked.filter(F.col("mask") == row["mask"]).select(
-            *names, "rule_rank", "status", "comment"
-        )
-        out.append((names, part))
-    return out
 
 
-def with_exact_rule(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add ``rule``: the first matching exact rule, or null."""
+def rule_sizes(book: rb.Rulebook) -> dict[str, int]:
+    """Bytes of each lookup the rulebook makes: one row per mask in use (at most
+    sixteen) and one for terms and targets."""
+    def sized(rows: DataFrame, part) -> DataFrame:
+        text = F.octet_length(F.to_json(F.struct(*rows.columns)))
+        return rows.select(part.alias("part"), text.cast("bigint").alias("bytes"))
+
+    rules = sized(masked_rules(book.rules), F.col("mask"))
+    words = sized(book.terms, F.lit("terms")).unionAll(sized(book.targets, F.lit("targets")))
+    found = rules.unionAll(words).groupBy("part").agg(F.sum("bytes").alias("bytes")).collect()
+    return {row["part"]: row["bytes"] for row in found}
+
+
+def join_sized(facts: DataFrame, lookup: DataFrame, keys: list[str], size: int) -> DataFrame:
+    if size <= joins.BROADCAST_BYTES:
+        return facts.join(F.broadcast(lookup), keys, "left")
+    return joins.skew_join(facts, lookup, keys, "left")
+
+
+def with_exact_rule(findings: DataFrame, rules: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """Add ``rule``: the first matching exact rule, or null.
+
+    Ordered wildcard rules become plain equi-joins, one per mask in use; in each,
+    the first rule per key is the only one that can win.
+    """
     hits = []
-    for i, (names, part) in enumerate(rules_by_mask(rules)):
-        found = F.struct("rule_rank", "status", "comment").alias(f"_hit{i}")
-        hits.append(f"_hit{i}")
+    masked = masked_rules(rules)
+    for mask in sorted(m for m in sizes if m not in ("terms", "targets")):
+        names = [k for k, bit in zip(rb.RULE_KEYS, mask) if bit == "1"]
+        part = masked.filter(F.col("mask") == mask)
+        hit = F.struct("rule_rank", "status", "comment").alias(f"_hit_{mask}")
+        hits.append(f"_hit_{mask}")
         if not names:  # a rule without any fixed field matches every finding
-            top = part.orderBy("rule_rank").limit(1).select(found)
-            findings = findings.crossJoin(F.broadcast(top))
+            top = part.orderBy("rule_rank").limit(1).select(hit)
+            findings = findings.crossJoin(F.broadcast(top))  # one row
             continue
-        keys = [f"_k{i}_{n}" for n in names]
-        lookup = first_per_key(part, list(names), [F.col("rule_rank")]).select(
-            *[F.col(n).alias(k) for n, k in zip(names, keys)], found
+        keys = [f"_k_{n}" for n in names]
+        best = part.groupBy(*names).agg(
+            F.min(F.struct("rule_rank", "status", "comment")).alias(f"_hit_{mask}")
         )
+        lookup = best.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], f"_hit_{mask}")
         keyed = findings.withColumns({k: text_of(n) for n, k in zip(names, keys)})
-        findings = lookup_join(keyed, lookup, keys).drop(*keys)
+        findings = join_sized(keyed, lookup, keys, sizes[mask]).drop(*keys)
     if not hits:
         none = F.lit(None).cast("struct<rule_rank:string,status:string,comment:string>")
         return findings.withColumn("rule", none)
@@ -167,7 +183,7 @@ def capitalization(container_known: Column) -> Column:
     flattened = container_known & tag.isNull() & F.equal_null(F.col("field"), F.lit("body_value"))
 
     def by_boundary(where: str) -> Column:
-        kind = sentence_boundary(before)
+        kind = F.col("_boundary")
         return chain(
             [
                 (kind == "boundary", verdict(APPROVED, f"{where}_sentence")),
@@ -275,18 +291,22 @@ def with_verdict(findings: DataFrame, book: rb.Rulebook,
         work = work.withColumn("container_known", F.lit(known))
     if flags is None:
         flags = confidence_flags(work)
-    work = lookup_join(work, flags, ["report_id"])
-    work = with_exact_rule(work, book.rules)
+    sizes = rule_sizes(book)
+    work = joins.lookup_join(work, flags, ["report_id"])
+    work = with_exact_rule(work, book.rules, sizes)
     # Only spelling rows look words up; other rows carry null keys.
     is_spelling = F.col("checker") == "check_spelling"
     work = work.withColumns({
         "_word": F.when(is_spelling, F.lower(tx.strip(text_of("original")))),
         "_target": F.when(is_spelling, F.lower(tx.strip(text_of("proposed")))),
+        "_boundary": F.when(
+            F.col("checker") == "check_capitalization", sentence_boundary(text_of("context_before"))
+        ),
     })
     terms = book.terms.select(F.col("term").alias("_word"), F.lit(True).alias("_protected"))
     targets = book.targets.select(F.col("term").alias("_target"), F.lit(True).alias("_safe"))
-    work = lookup_join(work, terms, ["_word"])
-    work = lookup_join(work, targets, ["_target"])
+    work = join_sized(work, terms, ["_word"], sizes.get("terms", 0))
+    work = join_sized(work, targets, ["_target"], sizes.get("targets", 0))
 
     yes = lambda name: F.coalesce(F.col(name), F.lit(False))
     checker = text_of("checker")
@@ -307,7 +327,7 @@ def with_verdict(findings: DataFrame, book: rb.Rulebook,
     )
     return work.withColumn("_v", result).withColumns(
         {"status": F.col("_v.status"), "comment": F.col("_v.comment")}
-    ).drop("_v", "_word", "_target", "_protected", "_safe", "informative", "rule")
+    ).drop("_v", "_word", "_target", "_protected", "_safe", "_boundary", "informative", "rule")
 
 
 def classified_columns(rows: DataFrame, *more: str) -> DataFrame:

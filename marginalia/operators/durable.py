@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,9 +18,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="marginalia-")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written once to the checkpoint folder, without their history."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once as Parquet in the checkpoint folder and read back.
+
+    Unlike a cached table it outlives lost executors, and later reads prune columns.
+    """
+    spark = df.sparkSession
+    run = spark.sparkContext.applicationId
+    path = f"{checkpoint_dir(spark).rstrip('/')}/marginalia-{run}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

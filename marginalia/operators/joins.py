@@ -12,38 +12,43 @@ HOT_ROWS = 2_000_000
 """Rows of one key that a single task may take before the key is split."""
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+def fits_broadcast(df: DataFrame) -> bool:
     """Whether the rows, measured as text, stay within the broadcast limit."""
     size = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint"))
-    return (df.agg(size.alias("n")).first()["n"] or 0) <= limit
+    return (df.agg(size.alias("n")).first()["n"] or 0) <= BROADCAST_BYTES
 
 
-def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
-                limit: int = BROADCAST_BYTES) -> DataFrame:
+def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str],
+                how: str = "left") -> DataFrame:
     """Join a table that is usually small and has one row per key.
 
     The lookup is measured first: within the limit it is broadcast and the facts
     are not shuffled; beyond it the join shuffles with hot keys split.
     """
-    if fits_broadcast(lookup, limit):
+    if fits_broadcast(lookup):
         return facts.join(F.broadcast(lookup), keys, how)
     return skew_join(facts, lookup, keys, how)
 
 
 def skew_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner",
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              rows: int | None = None) -> DataFrame:
     """Equi-join with hot fact keys spread over several tasks; null keys never match.
 
-    Keys with more than ``hot_rows`` fact rows are counted first (map-side
-    combined, key columns only).  At most ``rows / hot_rows`` such keys can exist,
+    ``rows`` is an upper bound of the fact rows when the caller knows one: a table no
+    larger than ``HOT_ROWS`` cannot hold a hot key and is joined plainly.
+
+    Otherwise keys with more than ``HOT_ROWS`` fact rows are counted first (map-side
+    combined, key columns only).  At most ``rows / HOT_ROWS`` such keys can exist,
     so that list is small whatever the data.  A hot key gets one part per
-    ``hot_rows`` rows: its fact rows take a part by hash, its lookup rows are
+    ``HOT_ROWS`` rows: its fact rows take a part by hash, its lookup rows are
     repeated once per part.  All other keys join once, on part 0.
     """
+    if rows is not None and rows <= HOT_ROWS:
+        return facts.join(lookup, keys, how)
     hot = (
         facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_parts"))
+        .filter(F.col("_n") > HOT_ROWS)
+        .select(*keys, F.ceil(F.col("_n") / F.lit(HOT_ROWS)).cast("int").alias("_parts"))
     )
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     spread = F.pmod(F.xxhash64(*facts.columns), parts).cast("int")

@@ -15,6 +15,7 @@ from marginalia.functions import text as tx
 from marginalia.functions.comments import training_comment
 from marginalia.functions.decisions import parse_decision
 from marginalia.functions.signature import pair_id, with_signature
+from marginalia.operators import durable
 from marginalia.operators.joins import skew_join
 from marginalia.operators.review import KEY, flagged
 
@@ -93,20 +94,33 @@ def open_findings(findings: DataFrame) -> DataFrame:
 
 def match(findings: DataFrame, observations: DataFrame,
           threshold: float = fixed.NEAR_MATCH_THRESHOLD, autojunk: bool = True) -> DataFrame:
-    """Reusable decisions for flagged findings, exact first, then near."""
+    """Reusable decisions for flagged findings, exact first, then near.
+
+    The two tables that every step reads, one row per fingerprint each, are written
+    to the checkpoint folder: they are far smaller than the findings, and neither the
+    signatures nor the tallies are computed again or lost with an executor.
+    """
     rows = open_findings(findings)
-    probes = rows.groupBy("fingerprint").agg(
-        *[F.any_value(c).alias(c) for c in ("core_key", "anchor_kind", "anchor")]
+    if "fingerprint" not in findings.columns:
+        rows = durable.stored(rows, "open-findings")
+    known = durable.stored(
+        tally(observations, ["fingerprint"], "core_key", "anchor_kind", "anchor"), "known"
+    )
+    probes = durable.stored(
+        rows.groupBy("fingerprint").agg(
+            F.count(F.lit(1)).alias("findings"),
+            *[F.any_value(c).alias(c) for c in ("core_key", "anchor_kind", "anchor")],
+        ), "probes",
     )
-    known = tally(observations, ["fingerprint"], "core_key", "anchor_kind", "anchor")
     agreed = decided(known, "fingerprint")
     exact = probes.select("fingerprint").join(agreed, "fingerprint").withColumns(
         {"memory_match": F.lit("exact"), "memory_score": F.lit(1.0)}
     )
-    rest = probes.join(agreed, "fingerprint", "left_anti")
+    rest = probes.join(agreed, "fingerprint", "left_anti").drop("findings")
     near = near_decisions(rest, known, threshold, autojunk)
+    total = probes.agg(F.sum("findings")).first()[0] or 0
     return skew_join(
-        rows.select(*KEY, "fingerprint"), exact.unionByName(near), ["fingerprint"]
+        rows.select(*KEY, "fingerprint"), exact.unionByName(near), ["fingerprint"], rows=total
     ).drop("fingerprint")
 
 
@@ -115,7 +129,8 @@ def match_exact(findings: DataFrame, observations: DataFrame) -> DataFrame:
     agreed = consensus(observations, ["fingerprint"]).withColumns(
         {"memory_match": F.lit("exact"), "memory_score": F.lit(1.0)}
     )
-    return skew_join(rows, agreed, ["fingerprint"]).drop("fingerprint")
+    known = rows.count() if "fingerprint" in findings.columns else None
+    return skew_join(rows, agreed, ["fingerprint"], rows=known).drop("fingerprint")
 
 
 def gram_size(threshold: float) -> int:
@@ -143,9 +158,13 @@ def near_pairs(probes: DataFrame, known: DataFrame, threshold: float) -> DataFra
     """
     size = gram_size(threshold)
     block = ["core_key", "anchor_kind"]
-    probes = probes.join(known.select(*block).distinct(), block, "left_semi")
-    known = known.join(probes.select(*block).distinct(), block, "left_semi")
     length = F.length("anchor")
+    probes = durable.stored(
+        probes.join(known.select(*block).distinct(), block, "left_semi"), "near-probes"
+    )
+    known = known.join(probes.select(*block).distinct(), block, "left_semi")
+    # pieces in all, which bounds the fact side of the joins below
+    total = probes.agg(F.sum(F.floor(length / size))).first()[0] or 0
 
     def piece_key(piece: Column) -> Column:
         return F.xxhash64(*block, piece)
@@ -170,21 +189,21 @@ def near_pairs(probes: DataFrame, known: DataFrame, threshold: float) -> DataFra
     allowed = tolerated_edits(F.col("length"), threshold)
     rarest = Window.partitionBy("fingerprint").orderBy(F.coalesce("_n", F.lit(0)), "at")
     chosen = (
-        skew_join(pieces, frequency, ["piece"], "left")
+        skew_join(pieces, frequency, ["piece"], "left", rows=total)
         .withColumn("_r", F.row_number().over(rarest))  # a handful of pieces per anchor
         .filter((F.col("_r") <= allowed + 1) & F.col("_n").isNotNull())
         .drop("_r", "_n")
     )
     both = F.col("length") + F.col("known_length")
     shorter = F.least("length", "known_length")
-    candidates = skew_join(chosen, grams, ["piece"]).filter(
+    candidates = skew_join(chosen, grams, ["piece"], rows=total).filter(
         (F.abs(F.col("at") - F.col("known_at")) <= allowed)
         & (2.0 * shorter >= threshold * both - 1e-9)
     ).select("fingerprint", "known_fingerprint")
     same = probes.select("fingerprint").join(known.select("fingerprint"), "fingerprint").select(
         "fingerprint", F.col("fingerprint").alias("known_fingerprint")
     )
-    return candidates.unionByName(same).distinct()
+    return durable.stored(candidates.unionByName(same).distinct(), "near-pairs")
 
 
 def near_decisions(probes: DataFrame, known: DataFrame, threshold: float,
@@ -195,7 +214,9 @@ def near_decisions(probes: DataFrame, known: DataFrame, threshold: float,
         "core_key", "anchor_kind"
     )
     texts = probes.select("fingerprint", F.col("anchor").alias("_new"))
-    paired = skew_join(pairs, stored, ["known_fingerprint"]).join(texts, "fingerprint")
+    paired = skew_join(pairs, stored, ["known_fingerprint"], rows=pairs.count()).join(
+        texts, "fingerprint"
+    )
     similarity = tx.similarity_udf(threshold, autojunk)
     scored = paired.withColumn("_s", similarity("_new", "_stored")).filter("_s.score IS NOT NULL")
     # A probe has few distinct scores (ratios of short lengths), however many partners.

@@ -147,8 +147,8 @@ def test_large_lookup_path_gives_the_same(spark, monkeypatch):
     book = rb.default(spark)
     small = statuses(cl.classify(df, book))
     from marginalia.operators import joins
-    monkeypatch.setattr(joins.fits_broadcast, "__defaults__", (0,))
-    monkeypatch.setattr(joins.lookup_join, "__defaults__", ("left", -1))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(joins, "HOT_ROWS", 3)
     assert statuses(cl.classify(df, book)) == small
 
 
