@@ -64,8 +64,19 @@ def rstrip(text: Column, chars: str = WHITE) -> Column:
     return F.rtrim(text, F.lit(chars))
 
 
+# One character class of all white space; single characters come first, which the
+# regular expression engine keeps in one bit table.
+_BLANKS = "[" + "".join(
+    f"\\x{{{ord(c):x}}}" for c in WHITE if not "\u2000" <= c <= "\u200a"
+) + "\\x{2000}-\\x{200a}]+"
+
+
 def collapse(text: Column) -> Column:
-    return strip(F.regexp_replace(text, py_regex(r"\s+"), " "))
+    return strip(F.regexp_replace(text, _BLANKS, " "))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def let(value: Column, body) -> Column:
@@ -91,24 +102,42 @@ def fold(text: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _beyond_native() -> str:
-    """Pattern of texts holding a character reference or a rare case fold."""
-    rare = [
-        c for c in map(chr, range(0x20000))
-        if c.casefold() != reduce(lambda t, p: t.replace(*p), _NATIVE_FOLDS.items(), c.lower())
-    ]
-    return "&[#a-zA-Z]|[" + "".join(f"\\x{{{ord(c):x}}}" for c in rare) + "]"
+def _rare_folds() -> str:
+    """Character class around the folds that ``fold`` does not make.
+
+    Nearby characters share a range: the class may hold harmless ones, which then
+    take the slow path as well.
+    """
+    def native(c: str) -> str:
+        return reduce(lambda t, pair: t.replace(*pair), _NATIVE_FOLDS.items(), c.lower())
+
+    ranges: list[list[int]] = []
+    for code in range(0x20000):
+        if chr(code).casefold() != native(chr(code)):
+            if ranges and code - ranges[-1][1] <= 0x60:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges) + "]"
 
 
 def needs_slow_path(text: Column) -> Column:
-    return text.rlike(_beyond_native())
+    """Texts with a character reference or a rare fold; cheap tests come first."""
+    reference = F.contains(text, F.lit("&")) & text.rlike("&[#a-zA-Z]")
+    return reference | (~is_ascii(text) & text.rlike(_rare_folds()))
 
 
 def normalize_native(text: Column) -> Column:
     """Match form of a text without character references or rare folds."""
     folded = fold(text)
-    urls = F.regexp_replace(folded, py_regex(fixed.URL_TEXT), " <url> ")
-    ids = F.regexp_replace(urls, py_regex(fixed.UUID_TEXT), " <uuid> ")
+    urls = F.when(
+        F.contains(folded, F.lit("://")),
+        F.regexp_replace(folded, py_regex(fixed.URL_TEXT), " <url> "),
+    ).otherwise(folded)
+    ids = F.when(
+        urls.rlike("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-"),
+        F.regexp_replace(urls, py_regex(fixed.UUID_TEXT), " <uuid> "),
+    ).otherwise(urls)
     return collapse(ids)
 
 

@@ -97,9 +97,7 @@ def raw_records(findings: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ drafts
 def draft_rows(reviews: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """Drafts to save and keys to clear (blank decisions)."""
-    parsed = reviews.select(
-        *KEY, parse_decision(F.col("decision"), F.col("review_note")).alias("_p")
-    )
+    parsed = reviews.withColumn("_p", parse_decision(F.col("decision"), F.col("review_note")))
     saved = parsed.filter(F.col("_p.status").isNotNull()).select(
         *KEY, F.col("_p.status").alias("decision"), tx.present(F.col("_p.note")).alias("note"),
         as_of.alias("updated_at"),

@@ -96,6 +96,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over all cores when the file itself has fewer splits.
+
+    A large table has far more splits than cores and is read as it is.
+    """
+    rows = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document with its neighbours."""
     parts = F.split("text", "\n", -1)
@@ -104,7 +114,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.get(parts, i - 1), F.lit("")).alias("prev"),
         F.coalesce(F.get(parts, i + 1), F.lit("")).alias("next"),
     ))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", "source", "lang", "n_chars", F.inline(pieces)
     )
 

@@ -173,7 +173,7 @@ def edit_distance_levels(spark, sf_dir):
 SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g')) AS normal
 FROM documents""")
 def normalized_texts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = bridge.documents(spark, sf_dir)
     return docs.select("doc_id", tx.normalize_match_text(F.col("text")).alias("normal"))
 
 
@@ -375,7 +375,6 @@ def clause_sql(c: str, o: str, p: str) -> str:
 
     mention = f"({named(o)} OR {named(p)})"
     vague = r"^\s*(?:" + "|".join(fixed.VAGUE_PHRASES) + r")[\s.!]*$"
-    direct = fixed.DIRECT_ACTION.replace(r"\b", "", 99)
     direct = START + r"(?:replace|change|correct|fix|remove|add|insert|delete|should be)" + END
     return (
         f"({c} <> '' AND NOT {matches(c, vague, 'i')} AND NOT {matches(c, _words(fixed.OPERATIONAL_PHRASES), 'i')}"
@@ -663,6 +662,11 @@ def evidence(spark, sf_dir):
 
 query("pattern_evidence", EVIDENCE_SQL + "SELECT * FROM evidence")(evidence)
 
+
+def kept_evidence(spark, sf_dir):
+    return bridge.kept(spark, sf_dir, "evidence", lambda: evidence(spark, sf_dir))
+
+
 # base terms of the bridge keep their own spelling suggestions apart
 SHARED_SQL = EVIDENCE_SQL.rstrip() + """,
 known AS (SELECT DISTINCT lower(trim(split_part(text, ' ', 1))) AS term FROM benchmark),
@@ -712,7 +716,9 @@ active AS (
 
 
 def shared(spark, sf_dir):
-    return learning.shared_suggestions(evidence(spark, sf_dir), bridge.rulebook(spark, sf_dir).terms)
+    return learning.shared_suggestions(
+        kept_evidence(spark, sf_dir), bridge.rulebook(spark, sf_dir).terms
+    )
 
 
 query("shared_suggestions", SHARED_SQL + "SELECT * FROM suggestions")(shared)
@@ -751,7 +757,7 @@ FROM benchmark""")
 def promoted_rules(spark, sf_dir):
     book = bridge.rulebook(spark, sf_dir)
     new_book, _, _ = learning.refresh(
-        book, evidence(spark, sf_dir), spark.createDataFrame([], "term string"), "next"
+        book, kept_evidence(spark, sf_dir), spark.createDataFrame([], "term string"), "next"
     )
     rules = new_book.rules.select(
         *[tx.present(F.col(c)).alias(c) for c in rb.RULE_FIELDS]

@@ -420,7 +420,7 @@ ARTIFACT_SQL = """
 SELECT l_suppkey AS run_id, CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-'
   || CAST(l_partkey AS STRING) AS id,
   CASE l_partkey % 4 WHEN 0 THEN 'QA-' WHEN 1 THEN 'my Report ' ELSE 'log ' END || l_linestatus AS name,
-  CAST(l_extendedprice * 10 AS BIGINT) * 1000 AS size, l_returnflag = 'R' AS expired
+  CAST(floor(l_extendedprice * 10) AS BIGINT) * 1000 AS size, l_returnflag = 'R' AS expired
 FROM {lineitem}
 """
 
@@ -428,9 +428,9 @@ FROM {lineitem}
 @query("ranked_artifacts", f"""
 SELECT run_id, id, name, size, row_number() OVER w AS rank FROM ({ARTIFACT_SQL.format(lineitem="lineitem")})
 WHERE NOT expired AND size <= 419430400
-QUALIFY row_number() OVER w <= 10
 WINDOW w AS (PARTITION BY run_id ORDER BY CASE WHEN regexp_matches(lower(name), 'qa|report|annotat|review') THEN 0
-  ELSE 1 END, size, lower(name), id)""")
+  ELSE 1 END, size, lower(name), id)
+QUALIFY rank <= 10""")
 def ranked_artifacts(spark, sf_dir):
     rows = spark.sql(ARTIFACT_SQL, lineitem=table(spark, sf_dir, "lineitem"))
     return tickets.ranked_artifacts(rows).select(
