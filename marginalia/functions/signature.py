@@ -40,7 +40,7 @@ def with_signature(findings: DataFrame) -> DataFrame:
     names = ("checker", "field", "original", "proposed",
              "context_before", "context_after", "node_label")
     normal, segments = tx.normalize_all(
-        [F.col(n) for n in names], F.split(tx.present(F.col("breadcrumb")), ">", -1)
+        [F.col(n) for n in names], F.col("breadcrumb")
     )
     work = findings.withColumns({
         "checker_key": normal[0], "field_key": normal[1],

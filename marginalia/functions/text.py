@@ -159,27 +159,34 @@ def _normalize_slow(texts: pd.Series) -> pd.Series:
     )
 
 
-def normalize_all(texts: list[Column], extra: Column) -> tuple[list[Column], Column]:
-    """Normalise several texts and one array of texts with a single UDF call."""
-    texts = [present(t) for t in texts]
-    everything = F.concat(F.array(*texts), extra)
-    slow = _normalize_slow(
-        F.when(needs_slow_path(F.array_join(everything, "\u0000")), everything)
-    )
+def _segments_native(path: Column) -> Column:
+    """Normalised parts of a '>' path.
+
+    Without an address (which may contain '>') the path is normalised once as a whole.
+    """
+    whole = F.transform(F.split(normalize_native(path), ">", -1), lambda s: F.trim(s))
+    apart = F.transform(F.split(path, ">", -1), normalize_native)
+    return F.when(F.contains(path, F.lit("://")), apart).otherwise(whole)
+
+
+def normalize_all(texts: list[Column], path: Column) -> tuple[list[Column], Column]:
+    """Normalise several texts and the parts of a '>' path with a single UDF call."""
+    texts, path = [present(t) for t in texts], present(path)
+    everything = F.concat(F.array(*texts), F.split(path, ">", -1))
+    slow = _normalize_slow(F.when(
+        needs_slow_path(F.concat_ws("\u0000", *texts, path)), everything
+    ))
     done = [
         F.coalesce(F.element_at(slow, i + 1), normalize_native(t))
         for i, t in enumerate(texts)
     ]
-    rest = F.coalesce(
-        F.slice(slow, len(texts) + 1, F.greatest(F.size(extra), F.lit(0))),
-        F.transform(extra, normalize_native),
-    )
-    return done, rest
+    rest = F.slice(slow, len(texts) + 1, F.greatest(F.size(slow), F.lit(0)))
+    return done, F.coalesce(rest, _segments_native(path))
 
 
 def normalize_match_text(text: Column) -> Column:
     """Match form of one column."""
-    return normalize_all([text], F.array().cast("array<string>"))[0][0]
+    return normalize_all([text], F.lit(""))[0][0]
 
 
 def breadcrumb_path(segments: Column) -> Column:
@@ -190,7 +197,8 @@ def breadcrumb_path(segments: Column) -> Column:
     """
     kept = F.filter(segments, lambda s: s != "")
     place = F.array_position(
-        F.transform(kept, lambda s: found(s, fixed.LOCATION_WORD)), F.lit(True)
+        # the first letters are looked at before the costlier word boundary
+        F.transform(kept, lambda s: found(s, "(?=[uslcam])" + fixed.LOCATION_WORD)), F.lit(True)
     )
     start = F.greatest(place, F.lit(1))
     # from the unit-like segment on, at most the last four
@@ -201,7 +209,7 @@ def breadcrumb_path(segments: Column) -> Column:
 
 
 def normalize_breadcrumb(text: Column) -> Column:
-    _, segments = normalize_all([F.lit("")], F.split(present(text), ">", -1))
+    _, segments = normalize_all([F.lit("")], text)
     return breadcrumb_path(segments)
 
 

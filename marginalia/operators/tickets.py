@@ -207,15 +207,18 @@ def run_reference(url: Column) -> Column:
         h.replace(".", r"\.") for h in fixed.RUN_HOSTS
     ) + r")(?::\d*)?(/[^?#]*)"
     path = F.rtrim(F.regexp_extract(clean, address, 1), F.lit("/"))
-    part = lambda i: F.regexp_extract(path, tx.py_regex(fixed.RUN_PATH, True), i)
-    repo = F.regexp_replace(part(2), r"\.git\z", "")
-    web = F.concat(
-        F.lit("https://github.com/"), part(1), F.lit("/"), repo, F.lit("/actions/runs/"), part(3)
-    )
-    return F.when(
-        tx.found(path, fixed.RUN_PATH, True),
-        F.struct(part(1).alias("owner"), repo.alias("repo"), part(3).alias("run_id"), web.alias("web_url")),
-    )
+
+    def reference(place: Column) -> Column:
+        part = lambda i: F.regexp_extract(place, tx.py_regex(fixed.RUN_PATH, True), i)
+        repo = F.regexp_replace(part(2), r"\.git\z", "")
+        web = F.concat(
+            F.lit("https://github.com/"), part(1), F.lit("/"), repo, F.lit("/actions/runs/"), part(3)
+        )
+        return F.when(part(3) != "", F.struct(
+            part(1).alias("owner"), repo.alias("repo"), part(3).alias("run_id"), web.alias("web_url")
+        ))
+
+    return tx.let(path, reference)
 
 
 def run_references(tickets: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.operators import library, merging, tickets
-from marginalia.plans.bridge import table
-from marginalia.plans.catalog import query
+from marginalia.operators import durable, library, merging, parse, tickets
+from marginalia.plans import flows
+from marginalia.plans.bridge import kept, table
+from marginalia.plans.catalog import derived_cards, query
+from marginalia.plans.oracle import sql
 from marginalia.streaming import flows as streams
 
 # ------------------------------------------------------------------ merges
@@ -185,11 +189,16 @@ FROM {orders} WHERE TRUE
 """
 
 
-def ticket_rows(spark, sf_dir):
+def read_tickets(spark, sf_dir):
     raw = spark.sql(TICKET_SQL, orders=table(spark, sf_dir, "orders"))
     return tickets.normalize_tickets(raw, "https://t.test")
 
 
+def ticket_rows(spark, sf_dir):
+    """Normalised tickets as a stored table."""
+    return kept(spark, sf_dir, "tickets", lambda: read_tickets(spark, sf_dir))
+
+
 LINK1 = "'https://github.com/Org' || (o_custkey % 3) || '/repo.git/actions/runs/' || (o_orderkey % 100)"
 LINK2 = "'https://GitHub.com/org' || (o_custkey % 3) || '/Repo/actions/runs/' || (o_orderkey % 100) || '/attempts/2'"
 LINK3 = "'https://x.test/' || (o_custkey % 10)"
@@ -208,7 +217,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS id, 'T-' || o_orderkey AS key, {SUMMARY} A
   'https://t.test/browse/T-' || o_orderkey AS browse_url
 FROM orders""")
 def normalized_tickets(spark, sf_dir):
-    rows = ticket_rows(spark, sf_dir)
+    rows = read_tickets(spark, sf_dir)
     return rows.withColumns({
         "links": F.array_join("links", "|"),
         "files": F.array_join(F.transform("attachments", lambda a: a["filename"]), "|"),
@@ -464,3 +473,69 @@ def reports_in_runs(spark, sf_dir):
         F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")).alias("artifact_id")
     ).distinct()
     return tickets.reports_in_runs(ranked, members).select("run_id", "artifact_id")
+
+
+# --------------------------------------------------------------- streaming
+def event_stream(spark, sf_dir):
+    """The events table read as a stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def drained(rows: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is there now into the checkpoint folder and read it back."""
+    spark = rows.sparkSession
+    base = f"{durable.checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    running = (
+        rows.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+        .option("checkpointLocation", f"{base}/checkpoint").start(f"{base}/rows")
+    )
+    running.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/rows")
+
+
+@query("streamed_distinct_events", """
+SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS ids FROM events GROUP BY 1""")
+def streamed_distinct_events(spark, sf_dir):
+    """Events sent twice arrive once."""
+    rows = event_stream(spark, sf_dir).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    twice = rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    once = drained(streams.distinct_events(twice, "1 hour", "ts", "event_id"), "events")
+    return once.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids")
+    )
+
+
+@query("streamed_reviewer_activity", """
+SELECT window_start, reviewer_email, events FROM (
+  SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type AS reviewer_email, count(*) AS events
+  FROM events GROUP BY 1, 2)
+WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
+def streamed_reviewer_activity(spark, sf_dir):
+    """Closed windows of the live activity count."""
+    rows = event_stream(spark, sf_dir).select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("reviewer_email")
+    )
+    done = drained(streams.reviewer_activity(rows, time="ts"), "activity")
+    return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "reviewer_email", "events")
+
+
+# ------------------------------------------------------------ report files
+@query("scanned_reports", sql("lines", """
+SELECT source AS report_name, count(*) AS findings, count(DISTINCT doc_id || '-' || pos) AS ids,
+  count(*) FILTER (WHERE pos % 3 = 0) AS math, CAST(sum(length(split_part(line, ' ', 1))) AS BIGINT) AS letters
+FROM lines GROUP BY 1"""))
+def scanned_reports(spark, sf_dir):
+    """Reports written as HTML files, split card by card on reading, and parsed."""
+    cards = derived_cards(spark, sf_dir)
+    folder = f"{durable.checkpoint_dir(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    pieces = cards.select("report_id", F.concat(F.lit(parse.CARD_START), "card").alias("value"))
+    pieces.write.partitionBy("report_id").text(folder)
+    _, rows = flows.read_reports(spark, f"{folder}/*/*.txt")
+    return rows.select(F.substring_index("breadcrumb", " > ", -1).alias("report_name"), "*").groupBy(
+        "report_name"
+    ).agg(
+        F.count(F.lit(1)).alias("findings"), F.count_distinct("issue_id").alias("ids"),
+        F.count_if(F.col("checker") == "check_math").alias("math"),
+        F.sum(F.length("original")).alias("letters"),
+    )

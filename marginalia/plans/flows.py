@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators import classify as cl
-from marginalia.operators import learning, library, memory, merging, parse, review
+from marginalia.operators import durable, learning, library, memory, merging, parse, review
 from marginalia.operators import rulebook as rb
 from marginalia.plans.store import Store
 from marginalia.sources import reports as src
@@ -30,6 +30,7 @@ def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def ingest(store: Store, path: str, book: rb.Rulebook, as_of: Column) -> dict[str, DataFrame]:
     """Parse, classify and store reports, learn, classify again, and prefill reviews."""
     files, raw = read_reports(store.spark, path)
+    raw = durable.stored(raw, "raw-findings")  # the report texts are parsed once
     stored = store.store_findings(
         library.stored_findings(cl.with_verdict(raw, book).withColumns({
             n: F.coalesce(F.col(n), F.lit("")) for n in ("original", "proposed")
