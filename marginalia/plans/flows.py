@@ -50,10 +50,16 @@ def ingest(store: Store, path: str, book: rb.Rulebook, as_of: Column) -> dict[st
 
 def refresh(store: Store, book: rb.Rulebook, version: str = "learned"):
     """Learning refresh over the whole store."""
-    seen = learning.evidence(
+    seen = durable.stored(learning.evidence(
         store.read("observations"), store.read("report_findings"), store.read("reports")
-    )
+    ), "evidence")
     new_book, active, removed = learning.refresh(book, seen, store.read("learned_terms"), version)
+    # the learned layer is read by every later step
+    active = durable.stored(active, "active")
+    new_book = rb.Rulebook(
+        durable.stored(new_book.terms, "terms"), new_book.targets,
+        durable.stored(new_book.rules, "rules"), new_book.version,
+    )
     store.write("learned_terms", learning.learned_terms(active))
     return new_book, active, removed
 
@@ -63,7 +69,7 @@ def reopen(store: Store, reports: DataFrame, book: rb.Rulebook,
     """Classify stored reports again and prefill their reviews from drafts and memory."""
     chosen = store.read("report_findings").join(reports.select("report_id"), "report_id", "left_semi")
     raw = library.raw_records(chosen)
-    findings = cl.classify(raw, book, "finding_order")
+    findings = durable.stored(cl.classify(raw, book, "finding_order"), "findings")
     drafts = store.read("draft_reviews").join(reports.select("report_id"), "report_id", "left_semi")
     if session is None:
         session = store.spark.createDataFrame(
@@ -71,7 +77,7 @@ def reopen(store: Store, reports: DataFrame, book: rb.Rulebook,
         )
     reviews = review.session_reviews(findings, session, drafts)
     matches = memory.match(findings, store.read("observations"))
-    return {"findings": findings, "reviews": review.prefill(reviews, matches)}
+    return {"findings": findings, "reviews": durable.stored(review.prefill(reviews, matches), "reviews")}
 
 
 def save_drafts(store: Store, reviews: DataFrame, as_of: Column) -> DataFrame:

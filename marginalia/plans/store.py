@@ -1,8 +1,8 @@
 """Parquet tables of a review library.
 
-Small keyed tables are written as a new generation each time, so a reader never sees
-a half-written one.  Stored findings are partitioned by a hash of the report; storing
-a report rewrites only the buckets it falls into.
+Every write is a new generation, so a reader never sees a half-written table.  Small
+keyed tables are written whole.  Stored findings are partitioned by a hash of the
+report, and storing reports writes only the buckets they fall into.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.operators import merging
+from marginalia.operators import durable, merging
 from marginalia.sources.portable import LONGS
 
 EXTRA = {"learned_terms": ("term",), "active_rules": ("suggestion_id",)}
@@ -30,69 +30,65 @@ class Store:
             T.StructField(f, T.LongType() if f in LONGS else T.StringType()) for f in fields
         ])
 
+    def _found(self, pattern: str) -> list[str]:
+        """Paths that match, in name order."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(pattern)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        return sorted(s.getPath().toString() for s in files.globStatus(path) or [])
+
     def _generations(self, name: str) -> list[str]:
         """Complete generations, oldest first."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return []
-        found = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}/gen-*/_SUCCESS"))
-        return sorted(status.getPath().getParent().toString() for status in found)
+        return [p.rsplit("/", 1)[0] for p in self._found(f"{self.base}/{name}/gen-*/_SUCCESS")]
+
+    def _next(self, name: str) -> str:
+        number = len(self._generations(name))
+        return f"{self.base}/{name}/gen-{number:08d}-{uuid.uuid4().hex[:8]}"
 
     # -- keyed tables
     def read(self, name: str) -> DataFrame:
-        schema = self._schema(name)
         if name == "report_findings":
-            return self._findings().drop("bucket")
-        generations = self._generations(name)
+            return self._findings()
+        schema, generations = self._schema(name), self._generations(name)
         if not generations:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(generations[-1])
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
         """Write a whole table as its next generation and read it back."""
-        number = len(self._generations(name))
-        path = f"{self.base}/{name}/gen-{number:08d}-{uuid.uuid4().hex[:8]}"
-        rows.select(*self._schema(name).names).write.mode("errorifexists").parquet(path)
+        rows.select(*self._schema(name).names).write.mode("errorifexists").parquet(self._next(name))
         return self.read(name)
 
     # -- findings by report bucket
     def _bucket(self):
         return F.pmod(F.xxhash64("report_id"), F.lit(self.buckets)).cast("int")
 
-    def _findings(self) -> DataFrame:
-        schema = self._schema("report_findings").add("bucket", T.IntegerType())
-        if not self._has_findings():
+    def _findings(self, buckets: list[int] | None = None) -> DataFrame:
+        """Some buckets, or all, each from the newest generation that holds it."""
+        schema, newest = self._schema("report_findings"), {}
+        for generation in self._generations("report_findings"):
+            for path in self._found(f"{generation}/bucket=*"):
+                newest[int(path.rsplit("=", 1)[1])] = path
+        paths = [p for b, p in newest.items() if buckets is None or b in buckets]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.base}/report_findings")
-
-    def _has_findings(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/report_findings/_SUCCESS")
-        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return files.exists(path)
+        return self.spark.read.schema(schema).parquet(*paths)
 
     def store_findings(self, incoming: DataFrame) -> DataFrame:
         """Replace all findings of the reports in ``incoming``.
 
-        The merged buckets are staged first; the staged copy is complete before any
-        bucket is replaced, so a failed run is repeated from there.
+        Only the touched buckets are written, as a new generation; nothing that may
+        still be read is changed, and a failed run leaves no visible trace.
         """
         names = self._schema("report_findings").names
-        stage = f"{self.base}/_staging/report_findings/{uuid.uuid4().hex}"
-        fresh = incoming.select(*names)
-        fresh.write.mode("errorifexists").parquet(f"{stage}/incoming")
-        fresh = self.spark.read.parquet(f"{stage}/incoming")
+        fresh = durable.stored(incoming.select(*names), "incoming")
         touched = [  # at most the number of buckets
             r["bucket"] for r in fresh.select(self._bucket().alias("bucket")).distinct().collect()
         ]
-        old = self._findings().filter(F.col("bucket").isin(touched)).select(*names)
+        old = self._findings(touched).select(*names)
         merged = merging.replace_findings(old, fresh).withColumn("bucket", self._bucket())
-        merged.write.mode("errorifexists").parquet(f"{stage}/merged")
         (
-            self.spark.read.parquet(f"{stage}/merged").hint("rebalance", "bucket")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket").parquet(f"{self.base}/report_findings")
+            merged.hint("rebalance", "bucket").write.mode("errorifexists")
+            .partitionBy("bucket").parquet(self._next("report_findings"))
         )
         return self.read("report_findings")
