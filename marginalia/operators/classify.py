@@ -92,11 +92,10 @@ def with_exact_rule(findings: DataFrame, rules: DataFrame, sizes: dict[str, int]
     for mask in sorted(m for m in sizes if m not in ("terms", "targets")):
         names = [k for k, bit in zip(rb.RULE_KEYS, mask) if bit == "1"]
         part = masked.filter(F.col("mask") == mask)
-        hit = F.struct("rule_rank", "status", "comment").alias(f"_hit_{mask}")
         hits.append(f"_hit_{mask}")
         if not names:  # a rule without any fixed field matches every finding
-            top = part.orderBy("rule_rank").limit(1).select(hit)
-            findings = findings.crossJoin(F.broadcast(top))  # one row
+            top = part.agg(F.min(F.struct("rule_rank", "status", "comment")).alias(f"_hit_{mask}"))
+            findings = joins.with_one_row(findings, top)
             continue
         keys = [f"_k_{n}" for n in names]
         best = part.groupBy(*names).agg(

@@ -63,6 +63,12 @@ def skew_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "
     return left.join(right, [*keys, "_part"], how).drop("_part")
 
 
+def with_one_row(facts: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (an aggregate without keys) to every row."""
+    key = F.lit(1).alias("_one")
+    return facts.select("*", key).join(F.broadcast(one.select("*", key)), "_one", "left").drop("_one")
+
+
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The row with the greatest order per key.
 

@@ -10,7 +10,7 @@ from marginalia.functions import text as tx
 from marginalia.functions.decisions import parse_decision
 from marginalia.functions.signature import short_id
 from marginalia.operators import rulebook as rb
-from marginalia.operators.joins import joined_names, lookup_join
+from marginalia.operators.joins import joined_names, lookup_join, skew_join
 from marginalia.operators.memory import decided, tally
 
 EVIDENCE_FIELDS = (
@@ -35,7 +35,8 @@ def evidence(observations: DataFrame, findings: DataFrame, reports: DataFrame) -
             F.struct("updated_at", "observation_id"),
         ).alias("_human"),
     )
-    seen = findings.join(agreed.select("core_key"), "core_key", "left_semi")
+    # one row per correction on the right, so this keeps findings as they are
+    seen = skew_join(findings, agreed.select("core_key"), ["core_key"])
     per_report = seen.groupBy("core_key", "report_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.min_by(

@@ -9,7 +9,7 @@ from marginalia import fixed
 from marginalia.functions import text as tx
 from marginalia.functions.decisions import parse_decision
 from marginalia.functions.signature import pair_id, with_signature
-from marginalia.operators.joins import skew_join
+from marginalia.operators.joins import skew_join, with_one_row
 from marginalia.operators.parse import RECORD_FIELDS
 from marginalia.operators.review import KEY
 
@@ -229,19 +229,17 @@ def library_stats(reports: DataFrame, findings: DataFrame, drafts: DataFrame) ->
         F.count(F.lit(1)).alias("n"),
         ((F.min("report_id") != F.max("report_id")) & (F.col("fingerprint") != "")).alias("again"),
     )
-    one = F.lit(1).alias("_k")  # each part is one row
+    whole = reports.agg(F.count(F.lit(1)).alias("reports"))
     parts = [
-        reports.agg(F.count(F.lit(1)).alias("reports")),
         per_fingerprint.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("findings"),
             F.count_if("again").alias("recurring_findings"),
         ),
         drafts.agg(F.count(F.lit(1)).alias("draft_reviews")),
     ]
-    whole = parts[0].select("*", one)
-    for part in parts[1:]:
-        whole = whole.join(part.select("*", one), "_k")
-    return whole.drop("_k")
+    for part in parts:
+        whole = with_one_row(whole, part)
+    return whole
 
 
 def similarity(findings: DataFrame, reports: DataFrame, current: DataFrame,
@@ -268,8 +266,8 @@ def similarity(findings: DataFrame, reports: DataFrame, current: DataFrame,
     rows = (
         exact.join(core, "report_id", "full").na.fill(0, ["exact_findings", "shared_correction_pairs"])
         .join(reports, "report_id")
-        .crossJoin(F.broadcast(fingerprints)).crossJoin(F.broadcast(cores))  # one row each
     )
+    rows = with_one_row(with_one_row(rows, fingerprints), cores)
 
     def share(part: str, whole: str) -> Column:
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)

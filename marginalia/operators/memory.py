@@ -16,7 +16,7 @@ from marginalia.functions.comments import training_comment
 from marginalia.functions.decisions import parse_decision
 from marginalia.functions.signature import pair_id, with_signature
 from marginalia.operators import durable
-from marginalia.operators.joins import skew_join
+from marginalia.operators.joins import lookup_join, skew_join, with_one_row
 from marginalia.operators.review import KEY, flagged
 
 OBSERVATION_FIELDS = (
@@ -78,7 +78,7 @@ def consensus(observations: DataFrame, keys: list[str]) -> DataFrame:
 
 def relevant_observations(findings: DataFrame, observations: DataFrame) -> DataFrame:
     """Observations about a correction that occurs in the findings."""
-    return observations.join(findings.select("core_key").distinct(), "core_key", "left_semi")
+    return skew_join(observations, findings.select("core_key").distinct(), ["core_key"])
 
 
 # ------------------------------------------------------------------- match
@@ -264,7 +264,7 @@ def observations_from_reviews(findings: DataFrame, reviews: DataFrame, names: Da
     note = training_comment(
         F.col("_p.note"), F.col("checker"), F.col("original"), F.col("proposed")
     )
-    return rows.join(names.select("report_id", "source_report"), "report_id").select(
+    return lookup_join(rows, names.select("report_id", "source_report"), ["report_id"], "inner").select(
         pair_id(F.col("report_id"), F.col("issue_id")).alias("observation_id"),
         "fingerprint", "core_key", "anchor_kind", "anchor",
         F.col("checker_key").alias("checker"), F.col("field_key").alias("field_name"),
@@ -296,7 +296,6 @@ def memory_stats(observations: DataFrame) -> DataFrame:
         F.count_if("conflict").alias("conflicts"),
     )
     reports = observations.agg(F.count_distinct("source_report_id").alias("reports"))
-    one = F.lit(1).alias("_k")  # both sides are one row
-    return totals.select("*", one).join(reports.select("*", one), "_k").select(
+    return with_one_row(totals, reports).select(
         "observations", "findings", "reports", "conflicts"
     )

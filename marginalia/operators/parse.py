@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.functions import text as tx
+from marginalia.operators import durable
 from marginalia.operators.joins import first_per_key, with_position
 
 CARD_START = '<div class="issue-card" id="annotation-card-'
@@ -220,8 +221,9 @@ def findings_from_cards(cards: DataFrame) -> DataFrame:
     first = first_per_key(
         issues, ["report_id", "issue_id"], [F.col("card_order"), F.col("issue_order")]
     )
+    # stored, so that numbering does not read the report texts a second time
     placed = with_position(
-        first, ["report_id"], "chunk", ["card_order", "issue_order"], "finding_order"
+        durable.stored(first, "issues"), ["report_id"], "chunk", ["card_order", "issue_order"], "finding_order"
     )
     return placed.select(
         "report_id", "finding_order", *RECORD_FIELDS, F.lit(True).alias("container_known")

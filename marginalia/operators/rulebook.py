@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from marginalia import fixed
 from marginalia.functions import text as tx
-from marginalia.operators.joins import first_per_key
+from marginalia.operators.joins import first_per_key, with_one_row
 
 RULE_FIELDS = ("checker", "field", "original", "proposed", "status", "comment", "source")
 RULE_KEYS = ("checker", "field", "original", "proposed")
@@ -217,6 +217,6 @@ def to_json(book: Rulebook, max_rules: int = 1_000_000) -> DataFrame:
         F.lit(1).alias("schema_version"), F.lit(book.version).alias("rules_version")
     )
     whole = one
-    for part in (terms, targets, rules):  # each part is exactly one row
-        whole = whole.withColumn("_k", F.lit(0)).join(part.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    for part in (terms, targets, rules):
+        whole = with_one_row(whole, part)
     return whole.select(F.to_json(F.struct("*")).alias("value"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators import classify as cl
 from marginalia.operators import durable, learning, library, memory, merging, parse, review
 from marginalia.operators import rulebook as rb
+from marginalia.operators.joins import lookup_join
 from marginalia.plans.store import Store
 from marginalia.sources import reports as src
 
@@ -15,22 +16,31 @@ from marginalia.sources import reports as src
 def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Manifest and raw findings of all report files under a path.
 
-    Files whose delimiter also occurs inside a card are read again as a whole.
+    The texts are read twice, once to hash each file and once to parse it.  While
+    parsing, pieces that are no card are counted; there is one per file unless the
+    delimiter also occurs inside a card, and only such files are read again as a whole.
     """
-    manifest = src.report_manifest(spark, path)
+    manifest = durable.stored(src.report_manifest(spark, path), "manifest")
     cards = src.scan_report_cards(spark, path)
-    odd = [r["path"] for r in src.irregular_files(cards).collect()]  # malformed files only
-    if odd:
-        cards = cards.filter(~F.col("path").isin(odd)).unionByName(src.scan_whole_reports(spark, odd))
-    cards = src.with_report_id(cards.filter(src.is_card(F.col("card"))), manifest)
-    files = manifest.dropDuplicates(["report_id"])
-    return files, parse.findings_from_cards(cards)
+    counted = Observation("cards")
+    watched = cards.observe(counted, F.count_if(~src.is_card(F.col("card"))).alias("others"))
+    findings = _parse(watched, manifest)
+    if counted.get["others"] > manifest.count():
+        odd = [r["path"] for r in src.irregular_files(cards).collect()]  # malformed files only
+        whole = src.scan_whole_reports(spark, odd)
+        findings = _parse(cards.filter(~F.col("path").isin(odd)).unionByName(whole), manifest)
+    return manifest.dropDuplicates(["report_id"]), findings
+
+
+def _parse(cards: DataFrame, manifest: DataFrame) -> DataFrame:
+    keyed = src.with_report_id(cards.filter(src.is_card(F.col("card"))), manifest)
+    return parse.findings_from_cards(keyed)
 
 
 def ingest(store: Store, path: str, book: rb.Rulebook, as_of: Column) -> dict[str, DataFrame]:
     """Parse, classify and store reports, learn, classify again, and prefill reviews."""
     files, raw = read_reports(store.spark, path)
-    raw = durable.stored(raw, "raw-findings")  # the report texts are parsed once
+    raw = durable.stored(raw, "raw-findings")
     stored = store.store_findings(
         library.stored_findings(cl.with_verdict(raw, book).withColumns({
             n: F.coalesce(F.col(n), F.lit("")) for n in ("original", "proposed")
@@ -67,7 +77,9 @@ def refresh(store: Store, book: rb.Rulebook, version: str = "learned"):
 def reopen(store: Store, reports: DataFrame, book: rb.Rulebook,
            session: DataFrame | None = None) -> dict[str, DataFrame]:
     """Classify stored reports again and prefill their reviews from drafts and memory."""
-    chosen = store.read("report_findings").join(reports.select("report_id"), "report_id", "left_semi")
+    chosen = lookup_join(
+        store.read("report_findings"), reports.select("report_id").distinct(), ["report_id"], "inner"
+    )
     raw = library.raw_records(chosen)
     findings = durable.stored(cl.classify(raw, book, "finding_order"), "findings")
     drafts = store.read("draft_reviews").join(reports.select("report_id"), "report_id", "left_semi")
