@@ -96,16 +96,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, spread over all cores when the file itself has fewer splits.
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores when the file itself has fewer splits.
 
     A large table has far more splits than cores and is read as it is.
     """
-    rows = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document with its neighbours."""
     parts = F.split("text", "\n", -1)
@@ -119,10 +122,6 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RAW_SQL, lines=lines(spark, sf_dir))
-
-
 def rulebook(spark: SparkSession, sf_dir: str) -> rb.Rulebook:
     items = table(spark, sf_dir, "benchmark")
     return rb.Rulebook(
@@ -146,6 +145,11 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
     return _KEPT[key]
 
 
+def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw findings, stored like those that parsing yields."""
+    return kept(spark, sf_dir, "raw", lambda: spark.sql(RAW_SQL, lines=lines(spark, sf_dir)))
+
+
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classified findings with their position."""
     return kept(spark, sf_dir, "classified", lambda: cl.classify(
