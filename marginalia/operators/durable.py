@@ -7,15 +7,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: list[tempfile.TemporaryDirectory] = []
+"""The one folder of this process where no shared folder is named; removed at its end."""
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="marginalia-")
+    if not _OWN:
+        _OWN.append(tempfile.TemporaryDirectory(prefix="marginalia-", ignore_cleanup_errors=True))
+    return _OWN[0].name
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the checkpoint folder that nothing else uses."""
+    run = spark.sparkContext.applicationId
+    return f"{checkpoint_dir(spark).rstrip('/')}/marginalia-{run}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -23,8 +34,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     Unlike a cached table it outlives lost executors, and later reads prune columns.
     """
-    spark = df.sparkSession
-    run = spark.sparkContext.applicationId
-    path = f"{checkpoint_dir(spark).rstrip('/')}/marginalia-{run}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
