@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.bpe_tables import SPECIAL, vocabulary, words_of
+from marginalia.llm.bpe_tables import SPECIAL, Remembered, vocabulary, words_of
 
-REMEMBERED = 250_000
-"""Encoded words a worker keeps; the store is emptied when full."""
+REMEMBERED = 200_000
+"""Encoded words a worker keeps in each of two generations."""
 
 LONG_WORD = 64
 """Longer words are encoded where they stand and not remembered."""
@@ -37,7 +37,7 @@ class Codec:
         self.longest = max(map(len, self.whole))
         self.pairs = np.empty(0, np.int64)  # sorted keys of judged pairs
         self.good = np.empty(0, bool)
-        self.words: dict[str, tuple[str, int, bytes]] = {}
+        self.words = Remembered(REMEMBERED)  # word -> (ids as text, their number, decoded)
         self.merged = self.proposed = 0
 
     def propose(self, raw: bytes) -> list[int]:
@@ -82,23 +82,26 @@ class Codec:
     def _entry(self, ids: list[int]) -> tuple[str, int, bytes]:
         return ",".join(map(str, ids)), len(ids), b"".join(map(self.vocabulary.token_bytes.__getitem__, ids))
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the distinct words of some texts that are not remembered yet."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = {w for t in texts for w in words_of(t) if w not in self.words and len(w) <= LONG_WORD}
-        if new:
-            listed = sorted(new)
-            self.words.update(zip(listed, map(self._entry, self.encode_words(listed))))
-
-    def word(self, w: str) -> tuple[str, int, bytes]:
-        return self.words.get(w) or self._entry(self.encode_words([w])[0])
-
-    def round_trip(self, text: str) -> tuple[str, int, str]:
-        """(ids joined by commas, number of ids, the decoded text)."""
+    def learn(self, texts: list[str]) -> dict[str, tuple[str, int, bytes]]:
+        """The entries of all distinct words of some texts, new words encoded together."""
+        met = {w: self.words.get(w) or self.words.recall(w) for t in texts for w in set(words_of(t))}
+        new = sorted(w for w, entry in met.items() if entry is None)
+        for w, ids in zip(new, self.encode_words(new)):
+            met[w] = self._entry(ids)
+            if len(w) <= LONG_WORD:
+                self.words.keep(w, met[w])
+        return met
+
+    def round_trips(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
+        """Per text (ids joined by commas, number of ids, the decoded text)."""
+        for some in _slices(texts):
+            met = self.learn([p for t in some for p in self.vocabulary.parts(t)])
+            yield from (self._round_trip(t, met) for t in some)
+
+    def _round_trip(self, text: str, met: dict) -> tuple[str, int, str]:
         v, out, n, raw = self.vocabulary, [], 0, []
         for k, part in enumerate(v.parts(text)):
-            found = [self.word(w) for w in words_of(part)]
+            found = [met[w] for w in words_of(part)]
             if k:
                 found.insert(0, self._entry([v.special[SPECIAL]]))
             out += [x[0] for x in found]
@@ -107,7 +110,7 @@ class Codec:
         return ",".join(out), n, b"".join(raw).decode("utf-8", "replace")
 
     def encode(self, text: str) -> list[int]:
-        joined = self.round_trip(text)[0]
+        joined = next(self.round_trips([text]))[0]
         return [int(x) for x in joined.split(",")] if joined else []
 
     def decode(self, ids: list[int]) -> str:
@@ -146,10 +149,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         own = codec(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = []
-            for some in _slices(texts):
-                own.learn([p for t in some for p in own.vocabulary.parts(t)])
-                ids += [own.encode(t) for t in some]
+            ids = [[int(x) for x in joined.split(",") if x] for joined, _, _ in own.round_trips(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["_id", "ids"])
 
     return rows.mapInArrow(encoded, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
@@ -170,13 +170,10 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             counts, ids, decoded = [], [], []
-            for some in _slices([t or "" for t in batch.column(1).to_pylist()]):
-                own.learn([p for t in some for p in own.vocabulary.parts(t)])
-                for t in some:
-                    joined, n, back = own.round_trip(t)
-                    counts.append(n)
-                    ids.append(sha(joined))
-                    decoded.append(sha(back))
+            for joined, n, back in own.round_trips([t or "" for t in batch.column(1).to_pylist()]):
+                counts.append(n)
+                ids.append(sha(joined))
+                decoded.append(sha(back))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 ["_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -10,6 +10,10 @@ import public_tokenizers
 import regex
 
 SPECIAL = "<|endoftext|>"
+_ID_BITS = 24
+_ID = (1 << _ID_BITS) - 1
+_NO_MERGE = 1 << 62
+
 WORDS = regex.compile(public_tokenizers.PATTERN)
 """What the byte-level tokenizer cuts a text into before it merges."""
 
@@ -33,7 +37,7 @@ class Vocabulary:
         self.id_of = {b: i for i, b in self.token_bytes.items()}
         self.byte_ids = [self.id_of[bytes([b])] for b in range(256)]
         self.merges = {
-            (ids[a], ids[b]): (rank, ids[a + b])
+            (ids[a], ids[b]): rank << _ID_BITS | ids[a + b]
             for rank, (a, b) in enumerate(model["model"]["merges"])
         }
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
@@ -43,18 +47,18 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the merge of lowest rank first, leftmost among equals."""
         ids = [self.byte_ids[b] for b in word]
-        if len(ids) > 48:
+        if len(ids) > 200:
             return self._merge_long(ids)
         get = self.merges.get
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                found = get((ids[i], ids[i + 1]))
-                if found and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        found = [get(pair, _NO_MERGE) for pair in zip(ids, ids[1:])]
+        while found and (best := min(found)) != _NO_MERGE:
+            at, new = found.index(best), best & _ID
+            ids[at : at + 2] = [new]
+            del found[at]
+            if at:
+                found[at - 1] = get((ids[at - 1], new), _NO_MERGE)
+            if at < len(found):
+                found[at] = get((new, ids[at + 1]), _NO_MERGE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -65,16 +69,16 @@ class Vocabulary:
         def offer(i: int) -> None:
             j = after[i]
             if j < n and (found := get((ids[i], ids[j]))):
-                heapq.heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
+                heapq.heappush(heap, (found, i, ids[i], ids[j]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, left, right, new = heapq.heappop(heap)
+            found, i, left, right = heapq.heappop(heap)
             j = after[i]
             if j >= n or ids[i] != left or ids[j] != right:
                 continue
-            ids[i], ids[j], after[i] = new, -1, after[j]
+            ids[i], ids[j], after[i] = found & _ID, -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
             offer(i)
@@ -103,3 +107,27 @@ def words_of(text: str):
     if len(text) <= 1 << 20:
         return WORDS.findall(text)
     return (m.group() for m in WORDS.finditer(text))
+
+
+class Remembered(dict):
+    """What a worker has computed per word, in two generations of limited size.
+
+    When the young one is full it becomes the old one; what is met again moves back, so
+    frequent words stay while rare ones go.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.old = limit, {}
+
+    def keep(self, word: str, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = value
+
+    def recall(self, word: str):
+        """What the old generation holds of a word, moved to the young one."""
+        found = self.old.get(word)
+        if found is not None:
+            self.keep(word, found)
+        return found

@@ -14,28 +14,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.bpe_tables import SPECIAL, vocabulary, words_of
+from marginalia.llm.bpe_tables import Remembered, vocabulary, words_of
 
-REMEMBERED = 400_000
-"""Merged words a worker keeps; the store is emptied when full."""
+REMEMBERED = 300_000
+"""Words a worker keeps in each of two generations."""
 
 TOKEN_LIMIT = 512
 
 
-class _Counts(dict):
+class _Counts(Remembered):
     """Tokens per word: one for whole tokens, the length of the merge for the rest."""
 
     def __init__(self, path: str):
+        super().__init__(REMEMBERED)
         self.vocabulary = vocabulary(path)
         self.whole = self.vocabulary.whole
 
     def __missing__(self, word: str) -> int:
-        raw = word.encode()
-        n = 1 if raw in self.whole else len(self.vocabulary.merge(raw))
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = n
+        n = self.recall(word)
+        if n is None:
+            raw = word.encode()
+            n = 1 if raw in self.whole else len(self.vocabulary.merge(raw))
+            if len(word) <= 64:
+                self.keep(word, n)
         return n
 
 
