@@ -96,6 +96,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the greatest id of each group of equal texts, with its columns.
+
+    Rows without id stay; of rows with the same id all stay or go together.
+    """
+    kept = exact_groups(docs).filter("kept").select("doc_id").distinct()
+    stays = F.col("doc_id").isNull()
+    return docs.filter(~stays).join(kept, "doc_id", "left_semi").unionByName(docs.filter(stays))
+
+
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with the document that stands for its text."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

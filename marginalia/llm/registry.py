@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from marginalia.llm import block_knn, bpe_codec, exact_dedup, language_id, token_counts, toxicity, warc
+from marginalia.llm import (
+    block_knn, bpe_codec, chosen_path, disclosure, exact_dedup, language_id, packing, token_counts, toxicity, warc,
+)
 
 QUERIES = {
+    "op1_ngram_jaccard_join": chosen_path.op1_ngram_jaccard_join,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_warc_archives": warc.op3_warc_archives,
     "op4_block_knn": block_knn.op4_block_knn,
     "op5_language_id": language_id.op5_language_id,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_disclosure": disclosure.op8_disclosure,
+    "op9_packing": packing.op9_packing,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
 }
 
