@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.bpe_tables import SPECIAL, Remembered, vocabulary, words_of
 
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 """Encoded words a worker keeps in each of two generations."""
 
 LONG_WORD = 64
@@ -82,32 +82,34 @@ class Codec:
     def _entry(self, ids: list[int]) -> tuple[str, int, bytes]:
         return ",".join(map(str, ids)), len(ids), b"".join(map(self.vocabulary.token_bytes.__getitem__, ids))
 
-    def learn(self, texts: list[str]) -> dict[str, tuple[str, int, bytes]]:
-        """The entries of all distinct words of some texts, new words encoded together."""
-        met = {w: self.words.get(w) or self.words.recall(w) for t in texts for w in set(words_of(t))}
-        new = sorted(w for w, entry in met.items() if entry is None)
+    def learn(self, distinct: set[str]) -> dict[str, tuple[str, int, bytes]]:
+        """The entry of each word, new words encoded together."""
+        met, new = {}, []
+        for w in distinct:
+            entry = self.words.get(w) or self.words.recall(w)
+            if entry is None:
+                new.append(w)
+            else:
+                met[w] = entry
         for w, ids in zip(new, self.encode_words(new)):
-            met[w] = self._entry(ids)
+            met[w] = entry = self._entry(ids)
             if len(w) <= LONG_WORD:
-                self.words.keep(w, met[w])
+                self.words.keep(w, entry)
         return met
 
     def round_trips(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
         """Per text (ids joined by commas, number of ids, the decoded text)."""
+        special = self._entry([self.vocabulary.special[SPECIAL]])
         for some in _slices(texts):
-            met = self.learn([p for t in some for p in self.vocabulary.parts(t)])
-            yield from (self._round_trip(t, met) for t in some)
-
-    def _round_trip(self, text: str, met: dict) -> tuple[str, int, str]:
-        v, out, n, raw = self.vocabulary, [], 0, []
-        for k, part in enumerate(v.parts(text)):
-            found = [met[w] for w in words_of(part)]
-            if k:
-                found.insert(0, self._entry([v.special[SPECIAL]]))
-            out += [x[0] for x in found]
-            n += sum(x[1] for x in found)
-            raw += [x[2] for x in found]
-        return ",".join(out), n, b"".join(raw).decode("utf-8", "replace")
+            cut = [[list(words_of(p)) for p in self.vocabulary.parts(t)] for t in some]
+            met = self.learn({w for parts in cut for words in parts for w in words})
+            for parts in cut:
+                found = [met[w] for w in parts[0]]
+                for words in parts[1:]:
+                    found.append(special)
+                    found += [met[w] for w in words]
+                ids, n, raw = zip(*found) if found else ((), (), ())
+                yield ",".join(ids), sum(n), b"".join(raw).decode("utf-8", "replace")
 
     def encode(self, text: str) -> list[int]:
         joined = next(self.round_trips([text]))[0]
