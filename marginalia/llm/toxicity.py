@@ -195,8 +195,11 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, seed: int = 7)
             if len(ids) > WINDOW:
                 sums = np.concatenate([[0.0], np.cumsum(words_now[ids])])
                 value = sums[WINDOW:] - sums[:-WINDOW]
-                take = [int(np.argmax(value))]
-                if not label:  # the worst of a clean text, and others for breadth
+                worst = int(np.argmax(value))
+                take = [worst]
+                if not label:  # the worst two of a clean text, and others for breadth
+                    value[max(0, worst - WINDOW + 1) : worst + WINDOW] = -np.inf
+                    take += [int(np.argmax(value))] if np.isfinite(value).any() else []
                     take += rng.choice(starts, min(3, len(starts)), replace=False).tolist()
             else:
                 take = [0]
@@ -206,7 +209,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, seed: int = 7)
         target = np.array(target)
         share = np.where(target == 1, 0.5 / max(1, (target == 1).sum()), 0.5 / max(1, (target == 0).sum()))
         mass = share * len(target)
-        for some in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // 2048)):
+        for some in np.array_split(rng.permutation(len(windows)), max(8, len(windows) // 1024)):
             step += 1
             ids = np.concatenate([windows[i] for i in some])
             lengths = np.array([len(windows[i]) for i in some])
