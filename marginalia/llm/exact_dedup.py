@@ -1,10 +1,11 @@
 """Exact duplicates by sorting the contents; DataFrame functions only.
 
 Texts are normalised (A-Z lower-cased, nothing else; null counts as empty) and
-range-partitioned by their bytes: Spark samples the splitters, each task sorts its range
-(spilling to disk where needed), and equal texts lie next to each other.  A window over
-the sorted rows compares neighbours in full and yields each run's greatest identifier and
-length.
+range-partitioned by their first bytes and a hash of all: Spark samples the splitters
+(short keys only, since the samples go to the driver), each task sorts its range (spilling
+to disk where needed) up to the whole text, and equal texts lie next to each other.  A
+window over the sorted rows compares neighbours in full and yields each run's greatest
+identifier and length.
 
 A text that holds more than its share of the rows is dealt over several ranges: its rows
 take a salt from their identifier, the salt is part of the sort key, and the few runs of
@@ -24,6 +25,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT_LIST = 50_000
 """Greatest number of texts that get salts: a hot text has over 1/HOT_LIST of the rows."""
 
+PREFIX = 32
+"""Characters of a text in the splitters; equal beginnings are told apart by the hash."""
+
 RUN_ROWS = 128
 """Rows of one text that are never split, however small the table."""
 
@@ -62,14 +66,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     salted = (
         base.join(F.broadcast(_hot(base.select("_key"))), "_key", "left")
         .select(
-            "_id", normalised(F.col("_text")).alias("_norm"),
+            "_id", "_key", normalised(F.col("_text")).alias("_norm"),
             F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"), F.lit(-1)).alias("_salt"),
         )
     )
-    run = Window.partitionBy("_norm", "_salt")
+    salted = salted.withColumn("_start", F.substring("_norm", 1, PREFIX))
+    run = Window.partitionBy("_start", "_key", "_salt", "_norm")
     ordered = run.orderBy(F.col("_id").desc_nulls_last())
     sorted_rows = (
-        salted.repartitionByRange("_norm", "_salt").select(
+        salted.repartitionByRange("_start", "_key", "_salt").select(
             "_id", "_salt", F.sha2("_norm", 256).alias("_sha"),
             F.first("_id").over(ordered).alias("_run_max"),
             F.count(F.lit(1)).over(run).alias("_run_n"),
