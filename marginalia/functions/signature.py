@@ -22,11 +22,11 @@ def json_hash(*values: Column) -> Column:
 
 def pair_id(report_id: Column, issue_id: Column) -> Column:
     """Id of a finding or observation."""
-    return F.sha2(F.concat_ws(SEPARATOR, report_id, issue_id), 256)
+    return F.sha2(F.concat_ws(SEPARATOR, tx.present(report_id), tx.present(issue_id)), 256)
 
 
 def short_id(*parts: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws(SEPARATOR, *parts), 256), 1, 16)
+    return F.substring(F.sha2(F.concat_ws(SEPARATOR, *map(tx.present, parts)), 256), 1, 16)
 
 
 SIGNATURE_COLUMNS = (

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 """Largest lookup handed to every executor."""
 
+NULL_PARTS = 4096
+"""Parts over which rows are dealt that cannot match."""
+
 HOT_ROWS = 2_000_000
 """Rows of one key that a single task may take before the key is split."""
 
@@ -51,7 +56,9 @@ def skew_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "
         .select(*keys, F.ceil(F.col("_n") / F.lit(HOT_ROWS)).cast("int").alias("_parts"))
     )
     parts = F.coalesce(F.col("_parts"), F.lit(1))
-    spread = F.pmod(F.xxhash64(*facts.columns), parts).cast("int")
+    # Rows with a null key match nothing; they are dealt out by their other columns.
+    unmatched = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    spread = F.pmod(F.xxhash64(*facts.columns), F.when(unmatched, NULL_PARTS).otherwise(parts)).cast("int")
     left = (
         facts.join(F.broadcast(hot), keys, "left").withColumn("_part", spread).drop("_parts")
     )

@@ -9,7 +9,7 @@ from marginalia import fixed
 from marginalia.functions import text as tx
 from marginalia.functions.decisions import parse_decision
 from marginalia.functions.signature import pair_id, with_signature
-from marginalia.operators.joins import skew_join, with_one_row
+from marginalia.operators.joins import lookup_join, with_one_row
 from marginalia.operators.parse import RECORD_FIELDS
 from marginalia.operators.review import KEY
 
@@ -148,8 +148,9 @@ def event_rows(changes: DataFrame, action: str, reviewer_email: str, reviewer_na
         raise LibraryError("a review event needs a reviewer address")
     return changes.select(
         # from the row itself, so that a retried task writes the same id
-        F.md5(F.concat_ws("\u001f", "report_id", "issue_id", F.lit(action), "decision",
-                          F.lit(email), "detail_json", as_of.cast("string"))).alias("event_id"),
+        F.md5(F.concat_ws("\u001f", *[tx.present(c) for c in (
+            F.col("report_id"), F.col("issue_id"), F.lit(action), F.col("decision"), F.lit(email),
+            F.col("detail_json"), as_of.cast("string"))])).alias("event_id"),
         "report_id", tx.present(F.col("issue_id")).alias("issue_id"),
         F.lit(action.strip()).alias("action"), tx.present(F.col("decision")).alias("decision"),
         F.lit(email).alias("reviewer_email"),
@@ -294,4 +295,4 @@ def current_counts(findings: DataFrame) -> DataFrame:
 
 
 def findings_with_names(findings: DataFrame, reports: DataFrame) -> DataFrame:
-    return skew_join(findings, reports.select("report_id", "report_name"), ["report_id"])
+    return lookup_join(findings, reports.select("report_id", "report_name"), ["report_id"], "inner")

@@ -14,7 +14,7 @@ from marginalia import fixed
 from marginalia.functions import text as tx
 from marginalia.functions.comments import training_comment
 from marginalia.functions.decisions import parse_decision
-from marginalia.functions.signature import pair_id, with_signature
+from marginalia.functions.signature import SIGNATURE_COLUMNS, pair_id, with_signature
 from marginalia.operators import durable
 from marginalia.operators.joins import lookup_join, skew_join, with_one_row
 from marginalia.operators.review import KEY, flagged
@@ -247,20 +247,23 @@ def near_decisions(probes: DataFrame, known: DataFrame, threshold: float,
 
 # ----------------------------------------------------------------- publish
 def reviewed_rows(findings: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Flagged findings with parsed decision and signature."""
+    """Flagged findings with parsed decision."""
     rows = flagged(findings).join(reviews.select(*KEY, "decision", "review_note"), KEY, "left")
-    rows = rows.withColumn("_p", parse_decision(F.col("decision"), F.col("review_note")))
-    return with_signature(rows.drop(*[
-        c for c in ("fingerprint", "core_key", "anchor_kind", "anchor") if c in rows.columns
-    ]))
+    return rows.withColumn("_p", parse_decision(F.col("decision"), F.col("review_note")))
+
+
+def signed(rows: DataFrame) -> DataFrame:
+    """Rows with their signature, computed only where the rows do not carry it."""
+    if all(c in rows.columns for c in SIGNATURE_COLUMNS):
+        return rows
+    return with_signature(rows.drop(*[c for c in SIGNATURE_COLUMNS if c in rows.columns]))
 
 
 def observations_from_reviews(findings: DataFrame, reviews: DataFrame, names: DataFrame,
                               as_of: Column) -> DataFrame:
     """Observations to publish.  ``names`` maps ``report_id`` to ``source_report``."""
-    rows = reviewed_rows(findings, reviews).filter(
-        F.col("_p.status").isNotNull() & (F.col("fingerprint") != "")
-    )
+    decided_rows = reviewed_rows(findings, reviews).filter(F.col("_p.status").isNotNull())
+    rows = signed(decided_rows).filter(F.col("fingerprint") != "")
     note = training_comment(
         F.col("_p.note"), F.col("checker"), F.col("original"), F.col("proposed")
     )
@@ -276,12 +279,16 @@ def observations_from_reviews(findings: DataFrame, reviews: DataFrame, names: Da
 
 def publish_counts(findings: DataFrame, reviews: DataFrame) -> DataFrame:
     """Published, blank and unanchored flagged findings per report."""
-    blank = F.col("_p.status").isNull()
+    rows = reviewed_rows(findings, reviews)
     anchored = F.col("fingerprint") != ""
-    return reviewed_rows(findings, reviews).groupBy("report_id").agg(
-        F.count_if(~blank & anchored).alias("published"),
-        F.count_if(blank).alias("skipped_blank"),
-        F.count_if(~blank & ~anchored).alias("skipped_unmatchable"),
+    blank = rows.groupBy("report_id").agg(F.count_if(F.col("_p.status").isNull()).alias("skipped_blank"))
+    counted = signed(rows.filter(F.col("_p.status").isNotNull())).groupBy("report_id").agg(
+        F.count_if(anchored).alias("published"), F.count_if(~anchored).alias("skipped_unmatchable"),
+    )
+    none = F.lit(0).cast("bigint")
+    return blank.join(counted, "report_id", "left").select(
+        "report_id", F.coalesce("published", none).alias("published"), "skipped_blank",
+        F.coalesce("skipped_unmatchable", none).alias("skipped_unmatchable"),
     )
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from marginalia.functions import text as tx
 from marginalia.operators import durable
-from marginalia.operators.joins import first_per_key, with_position
+from marginalia.operators.joins import lookup_join, with_position
 
 CARD_START = '<div class="issue-card" id="annotation-card-'
 ISSUE_START = '<div class="aggregated-issue"'
@@ -217,13 +217,19 @@ def issues_from_cards(cards: DataFrame) -> DataFrame:
 
 def findings_from_cards(cards: DataFrame) -> DataFrame:
     """One row per finding: first issue of each id, numbered in document order."""
-    issues = issues_from_cards(cards).filter(tx.present(F.col("issue_id")) != "")
-    first = first_per_key(
-        issues, ["report_id", "issue_id"], [F.col("card_order"), F.col("issue_order")]
+    key, place = ["report_id", "issue_id"], F.struct("chunk", "card_order", "issue_order")
+    # stored, so that what follows does not read the report texts a second time
+    issues = durable.stored(
+        issues_from_cards(cards).filter(tx.present(F.col("issue_id")) != ""), "issues"
     )
-    # stored, so that numbering does not read the report texts a second time
+    # Ids are nearly unique: only the few repeated ones are looked up, on narrow rows.
+    repeated = durable.stored(
+        issues.groupBy(*key).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > 1).drop("_n"), "repeated",
+    )
+    first = lookup_join(issues, repeated, key).filter(F.col("_first").isNull() | (F.col("_first") == place))
     placed = with_position(
-        durable.stored(first, "issues"), ["report_id"], "chunk", ["card_order", "issue_order"], "finding_order"
+        first.drop("_first"), ["report_id"], "chunk", ["card_order", "issue_order"], "finding_order"
     )
     return placed.select(
         "report_id", "finding_order", *RECORD_FIELDS, F.lit(True).alias("container_known")

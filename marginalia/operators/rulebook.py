@@ -162,9 +162,10 @@ def uncovered(book: Rulebook, suggestions: DataFrame) -> DataFrame:
 def promote(book: Rulebook, suggestions: DataFrame, version: str) -> Rulebook:
     """Add selected suggestions: terms to the terms, new rules after the old ones.
 
-    Added rules are ranked by the order of the suggestions (coverage, evidence,
-    occurrences, text), written as fixed-width digits so that no global sort is
-    needed to number them.
+    Added rules come after those of all earlier promotions, whatever the versions are
+    called: the rank starts with the number of the promotion.  Within one they follow the
+    order of the suggestions (coverage, evidence, occurrences, text), written as
+    fixed-width digits so that no global sort is needed to number them.
     """
     chosen = suggestions.filter("selected")
     is_term = F.col("suggestion_type") == fixed.TERM_SUGGESTION
@@ -177,12 +178,14 @@ def promote(book: Rulebook, suggestions: DataFrame, version: str) -> Rulebook:
             candidates = candidates.withColumn(name, F.lit(0).cast("bigint"))
     if "source" not in candidates.columns:
         candidates = candidates.withColumn("source", F.lit(fixed.HUMAN_SOURCE))
+    promoted = F.when(F.col("rule_rank").startswith("1|"), F.substring("rule_rank", 3, 12).try_cast("bigint"))
+    latest = book.rules.agg(F.max(promoted).alias("n")).first()["n"] or 0
     digits = [
         F.lpad((F.lit(10**15) - F.col(n)).cast("string"), 16, "0")
         for n in ("course_coverage", "evidence_count", "occurrences")
     ]
     rank = F.concat(
-        F.lit("1|"), F.lit(version), F.lit("|"), *digits,
+        F.lit(f"1|{latest + 1:012d}|"), *digits,
         F.lower(F.col("original")), F.lit("\u0000"), F.col("suggestion_id"),
     )
     have = rule_signature(book.rules).select(*SIGNATURE).distinct()
@@ -198,15 +201,29 @@ def promote(book: Rulebook, suggestions: DataFrame, version: str) -> Rulebook:
     )
 
 
-def to_json(book: Rulebook, max_rules: int = 1_000_000) -> DataFrame:
-    """One-row table with the rulebook document as JSON text.
+TABLES = ("terms", "targets", "rules")
 
-    A JSON document is one value, so its parts are checked against ``max_rules``
-    first; a larger rulebook is kept as tables.
-    """
+
+def save_tables(book: Rulebook, path: str) -> None:
+    """The rulebook as JSON lines, one folder per part, of any size."""
+    for name in TABLES:
+        getattr(book, name).write.mode("errorifexists").json(f"{path}/{name}")
+    version = book.rules.sparkSession.range(1).select(F.lit(book.version).alias("rules_version"))
+    version.write.mode("errorifexists").json(f"{path}/version")
+
+
+def load_tables(spark: SparkSession, path: str) -> Rulebook:
+    """What ``save_tables`` has written."""
+    kinds = {"terms": "term string", "targets": "term string", "rules": f"rule_rank string, {RULE_SCHEMA}"}
+    parts = [spark.read.schema(kinds[name]).json(f"{path}/{name}") for name in TABLES]
+    version = spark.read.schema("rules_version string").json(f"{path}/version").first()["rules_version"]
+    return Rulebook(*parts, version)
+
+
+def to_json(book: Rulebook) -> DataFrame:
+    """One-row table with the rulebook document as JSON text, the reference form of a
+    rulebook that people edit.  ``save_tables`` writes one of any size."""
     spark = book.rules.sparkSession
-    if book.rules.count() + book.terms.count() + book.targets.count() > max_rules:
-        raise RulebookError("rulebook too large for one JSON document; write its tables")
     entry = F.struct("rule_rank", F.struct(*RULE_FIELDS).alias("rule"))
     rules = book.rules.agg(
         F.transform(F.array_sort(F.collect_list(entry)), lambda r: r["rule"]).alias("exact_rules")

@@ -231,20 +231,27 @@ def run_references(tickets: DataFrame) -> DataFrame:
     return first_per_key(keyed, ["key", "_o", "_r", "run_id"], [F.col("position")]).drop("_o", "_r")
 
 
-def usable_artifacts(artifacts: DataFrame, max_bytes: int = fixed.MAX_ARTIFACT_BYTES) -> DataFrame:
+def usable_artifacts(artifacts: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Artifacts with the reason an artifact is skipped (null when usable)."""
-    reason = F.when(F.col("expired"), "expired").when(F.col("size") > max_bytes, "too large")
+    reason = F.when(F.col("expired"), "expired")
+    if max_bytes is not None:
+        reason = reason.when(F.col("size") > max_bytes, "too large")
     return artifacts.withColumn("skipped", reason)
 
 
-def ranked_artifacts(artifacts: DataFrame, top: int = 10,
-                     max_bytes: int = fixed.MAX_ARTIFACT_BYTES) -> DataFrame:
-    """The first artifacts worth opening per run: telling names, then small, then by name."""
+def ranked_artifacts(artifacts: DataFrame, top: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Artifacts in the order worth opening per run: telling names, then small, then by name.
+
+    ``top`` and ``max_bytes`` are budgets of a caller who opens them one by one; without
+    them every artifact that has not expired is ranked.
+    """
     name = tx.fold(tx.present(F.col("name")))
     telling = reduce(lambda a, b: a | b, [F.contains(name, F.lit(w)) for w in fixed.ARTIFACT_KEYWORDS])
     usable = usable_artifacts(artifacts, max_bytes).filter("skipped IS NULL").drop("skipped")
     order = [F.when(telling, 0).otherwise(1), F.col("size"), name, F.col("id")]
     # rank inside hash slices first: a run with very many artifacts stays spread
+    if top is None:
+        return usable.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)))
     cut = usable.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(32)))
     for group in (["run_id", "_slice"], ["run_id"]):
         cut = cut.withColumn(
@@ -279,13 +286,13 @@ def report_sources(tickets: DataFrame, loaded: DataFrame) -> DataFrame:
         F.col("web_url").alias("label"),
     )
     offers = files.unionByName(runs)
-    best = offers.groupBy("key").agg(F.min("priority").alias("priority"))
-    ahead = offers.join(best, ["key", "priority"])
-    grouped = ahead.groupBy("key", "priority").agg(
-        F.count(F.lit(1)).alias("offers"),
-        F.min_by(F.struct("source_key", "label"), "position").alias("_first"),
+    files_first = F.count_if(F.col("priority") == 1)
+    grouped = offers.groupBy("key").agg(
+        F.min("priority").alias("priority"),
+        F.when(files_first > 0, files_first).otherwise(F.count(F.lit(1))).alias("offers"),
+        F.min(F.struct("priority", "position", "source_key", "label")).alias("_first"),
     )
-    rows = grouped.select("key", "priority", "offers", "_first.*")
+    rows = grouped.select("key", "priority", "offers", "_first.source_key", "_first.label")
     known = loaded.select("source_key", F.lit(True).alias("_loaded")).distinct()
     action = (
         F.when(F.col("offers") > 1, "choose")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia import fixed
 from marginalia.operators import durable, library, merging, parse, tickets
 from marginalia.plans import flows
 from marginalia.plans.bridge import kept, spread, table
@@ -442,7 +443,7 @@ WINDOW w AS (PARTITION BY run_id ORDER BY CASE WHEN regexp_matches(lower(name),
 QUALIFY rank <= 10""")
 def ranked_artifacts(spark, sf_dir):
     rows = spark.sql(ARTIFACT_SQL, lineitem=table(spark, sf_dir, "lineitem"))
-    return tickets.ranked_artifacts(rows).select(
+    return tickets.ranked_artifacts(rows, 10, fixed.MAX_ARTIFACT_BYTES).select(
         "run_id", "id", "name", "size", F.col("rank").cast("bigint").alias("rank")
     )
 
@@ -453,7 +454,7 @@ SELECT coalesce(skipped, 'used') AS outcome, count(*) AS artifacts FROM (
   FROM ({ARTIFACT_SQL.format(lineitem="lineitem")})) GROUP BY 1""")
 def skipped_artifacts(spark, sf_dir):
     rows = spark.sql(ARTIFACT_SQL, lineitem=table(spark, sf_dir, "lineitem"))
-    return tickets.usable_artifacts(rows).groupBy(
+    return tickets.usable_artifacts(rows, fixed.MAX_ARTIFACT_BYTES).groupBy(
         F.coalesce("skipped", F.lit("used")).alias("outcome")
     ).agg(F.count(F.lit(1)).alias("artifacts"))
 
@@ -468,7 +469,9 @@ f AS (SELECT run_id, min(rank) AS rank FROM a WHERE rank <= 10 AND id IN (SELECT
 SELECT a.run_id, a.id AS artifact_id FROM f JOIN a ON a.run_id = f.run_id AND a.rank = f.rank""")
 def reports_in_runs(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
-    ranked = tickets.ranked_artifacts(spark.sql(ARTIFACT_SQL, lineitem=items))
+    ranked = tickets.ranked_artifacts(
+        spark.sql(ARTIFACT_SQL, lineitem=items), 10, fixed.MAX_ARTIFACT_BYTES
+    )
     members = items.filter("l_quantity > 25").select(
         F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")).alias("artifact_id")
     ).distinct()

@@ -190,6 +190,23 @@ def test_rulebook_file(spark, tmp_path):
             rb.load(spark, str(path))
 
 
+def test_promotions_keep_their_order(spark, tmp_path):
+    """Rules of a later promotion come last, whatever the versions are called."""
+    book = rb.default(spark)
+    kind = "selected boolean, suggestion_type string, suggestion_id string, checker string, field string, " \
+        "original string, proposed string, status string, comment string, evidence_count long"
+    for version, comment in (("v9", "first"), ("v10", "second"), ("a", "third")):
+        chosen = spark.createDataFrame([(True, "exact rule", comment, "*", "*", "word", "*", A, comment, 3)], kind)
+        book = rb.promote(book, chosen, version)
+    added = book.rules.filter("rule_rank LIKE '1|%'").orderBy("rule_rank").collect()
+    assert [r["comment"] for r in added] == ["first", "second", "third"]
+    assert book.rules.agg({"rule_rank": "max"}).first()[0] == added[-1]["rule_rank"]
+    rb.save_tables(book, str(tmp_path / "book"))
+    again = rb.load_tables(spark, str(tmp_path / "book"))
+    assert again.version == "a" and again.terms.count() == book.terms.count()
+    assert sorted(map(str, again.rules.collect())) == sorted(map(str, book.rules.select(*again.rules.columns).collect()))
+
+
 def test_default_rulebook(spark):
     book = rb.default(spark)
     terms = {r[0] for r in book.terms.collect()}

@@ -182,6 +182,32 @@ def test_report_stream_equals_batch(spark, tmp_path):
     assert got.count() == 3
 
 
+def test_streams_keep_cards_of_irregular_files(spark, tmp_path):
+    """The delimiter stands inside a card of one file; batch and both streams give all findings."""
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    book = rb.default(spark)
+    odd = HEAD + card(1, [issue("id0", "blorfword", "blurb")]) + card(
+        2, [issue("id1", "blorfword", "blurb")], extra='<div class="issue-card" id="annotation-card-x"></div>'
+    ) + card(3, [issue("id2", "blorfword", "blurb")])
+    (inbox / "odd.html").write_text(odd)
+    (inbox / "copy.html").write_text(odd)
+    (inbox / "plain.html").write_text(report("p1"))
+    _, raw = flows.read_reports(spark, str(inbox))
+    want = ["id0", "id1", "id2", "p1"]
+    assert sorted(r["issue_id"] for r in raw.collect()) == want
+    streams.ingest_stream(spark, str(inbox), book, str(tmp_path / "out"), str(tmp_path / "m1")).awaitTermination()
+    assert sorted(r["issue_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+    store = Store(spark, str(tmp_path / "store"), buckets=2)
+    streams.store_stream(store, str(inbox), book, str(tmp_path / "m2")).awaitTermination()
+    assert sorted(r["issue_id"] for r in store.read("report_findings").collect()) == want
+    (inbox / "again.html").write_text(report("p1"))  # a copy of a stored report, and a new one
+    (inbox / "new.html").write_text(report("n1", word="blorfwords"))
+    streams.store_stream(store, str(inbox), book, str(tmp_path / "m2")).awaitTermination()
+    assert sorted(r["issue_id"] for r in store.read("report_findings").collect()) == sorted([*want, "n1"])
+    assert store.read("reports").count() == 3
+
+
 TICKET = {
     "id": 7, "key": "K-42", "fields": {
         "summary": "Work", "status": {"name": "Open"}, "assignee": None, "updated": "2024",

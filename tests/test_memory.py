@@ -303,6 +303,30 @@ def test_hot_keys_are_split_without_changing_results(spark, monkeypatch):
         assert sorted(map(str, split.select("k", "id", "v").collect())) == sorted(map(str, plain.select("k", "id", "v").collect()))
 
 
+def test_rows_with_null_keys_are_dealt_out(spark, monkeypatch):
+    facts = spark.range(4000).select(F.when(F.col("id") % 100 == 0, F.col("id")).alias("k"), "id")
+    lookup = spark.range(0, 4000, 2).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    monkeypatch.setattr(joins, "HOT_ROWS", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        split = joins.skew_join(facts, lookup, ["k"], "left")
+        sizes = [r["n"] for r in split.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 1500
+        assert split.filter("v IS NOT NULL").count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_ids_tell_nulls_apart(spark):
+    from marginalia.functions.signature import pair_id, short_id
+
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None)], "x string, y string, z string")
+    assert df.select(short_id(F.col("x"), F.col("y"), F.col("z"))).distinct().count() == 2
+    assert df.select(pair_id(F.col("y"), F.col("z"))).distinct().count() == 2
+
+
 def test_event_rows_and_link_rules(spark):
     changes = spark.createDataFrame([("a", "1", "approved", json.dumps({"review_note": "x"}))],
                                     "report_id string, issue_id string, decision string, detail_json string")

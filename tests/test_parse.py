@@ -163,18 +163,33 @@ def test_report_names(spark):
 
 
 def test_archives(spark, tmp_path):
-    report = HEAD + card(1, [issue("a", "x", "y")])
+    report = HEAD + card(1, [issue("a", "x", "y")]) + card(2, [issue("b", "x", "y")])
     with zipfile.ZipFile(tmp_path / "77.zip", "w") as z:
         z.writestr("deep/Report.HTML", report)
         z.writestr("index.html", "<html></html>")
         z.writestr("notes.txt", report)
+        z.writestr("copy.htm", report)
+        z.writestr("long.html", report + " " * 4000)
     (tmp_path / "78.zip").write_bytes(b"not a zip")
-    rows = {r["artifact_id"]: r for r in archives.scan_report_archives(spark, str(tmp_path)).collect()}
-    assert rows["77"]["archive_path"] == "deep/Report.HTML" and rows["77"]["problem"] is None
-    assert bytes(rows["77"]["payload"]).decode() == report
-    assert rows["78"]["problem"] == "invalid archive"
-    small = archives.scan_report_archives(spark, str(tmp_path), max_report_bytes=50)
-    assert {r["problem"] for r in small.collect()} == {"report too large", "invalid archive"}
+    found = archives.scan_report_archives(spark, str(tmp_path))
+    rows = {(r["artifact_id"], r["filename"]): r for r in found.collect()}
+    assert {k: r["status"] for k, r in rows.items()} == {
+        ("77", "Report.HTML"): "report", ("77", "index.html"): "no report", ("77", "notes.txt"): "no report",
+        ("77", "copy.htm"): "report", ("77", "long.html"): "report", ("78", None): "invalid archive",
+    }
+    assert rows["77", "Report.HTML"]["archive_path"] == "deep/Report.HTML"
+    assert bytes(rows["77", "Report.HTML"]["payload"]).decode() == report
+    # Reports of archives go through the parser; copies count once.
+    assert archives.report_members(found).select("report_id").distinct().count() == 2
+    parsed = parse.findings_from_cards(archives.cards_from_members(found))
+    assert sorted((r["issue_id"], r["finding_order"]) for r in parsed.collect()) == [("a", 0), ("a", 0), ("b", 1), ("b", 1)]
+    # A limit concerns the member or archive that exceeds it, and says so.
+    small = archives.scan_report_archives(spark, str(tmp_path), max_report_bytes=len(report) + 10)
+    assert {r["filename"]: r["status"] for r in small.collect() if r["artifact_id"] == "77"} == {
+        "Report.HTML": "report", "index.html": "no report", "notes.txt": "no report", "copy.htm": "report", "long.html": "too large",
+    }
+    tiny = archives.scan_report_archives(spark, str(tmp_path), max_archive_bytes=50)
+    assert {r["artifact_id"]: r["status"] for r in tiny.collect()} == {"77": "archive too large", "78": "invalid archive"}
 
 
 def test_html_unescape(spark):
