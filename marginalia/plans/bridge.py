@@ -24,7 +24,7 @@ AS_OF = "2024-05-01T00:00:00+00:00"
 RAW_SQL = """
 SELECT source AS report_id,
   CAST(doc_id AS STRING) || '-' || CAST(pos AS STRING) AS issue_id,
-  doc_id * 100000 + pos AS finding_order, doc_id,
+  doc_id * 1000000000 + pos AS finding_order, doc_id,
   CASE n % 8 WHEN 0 THEN 'check_spelling' WHEN 1 THEN 'check_capitalization'
     WHEN 2 THEN 'check_math' WHEN 3 THEN 'check_proper_nouns' WHEN 4 THEN 'check_links'
     WHEN 5 THEN 'check_punctuation' WHEN 6 THEN 'check_spacing' ELSE 'check_' || lang END AS checker,
@@ -47,11 +47,11 @@ SELECT source AS report_id,
   CASE length(next) % 6 WHEN 0 THEN '' WHEN 1 THEN 'It is unclear whether ' || tok2
     WHEN 2 THEN 'Standard mathematical notation for ' || tok1 WHEN 3 THEN 'Unambiguous ' || tok2
     WHEN 4 THEN 'An ambiguous ' || tok1 ELSE tok3 END AS reasoning,
-  right(prev, 140) || CASE p % 9 WHEN 0 THEN chr(92) WHEN 1 THEN ' HSA-APR' WHEN 2 THEN ' Card B '
+  prev || CASE p % 9 WHEN 0 THEN chr(92) WHEN 1 THEN ' HSA-APR' WHEN 2 THEN ' Card B '
     WHEN 3 THEN chr(10) || ' B ' WHEN 4 THEN ' e.g. ' WHEN 5 THEN ' U.S. ' WHEN 6 THEN ' 1. '
     WHEN 7 THEN ' "' ELSE '' END AS context_before,
   CASE n % 11 WHEN 0 THEN '' WHEN 1 THEN ' is a variable' WHEN 2 THEN ' essential knowledge and skills'
-    WHEN 3 THEN '=4' ELSE substr(line, length(tok1) + 1, 150) END AS context_after,
+    WHEN 3 THEN '=4' ELSE substr(line, length(tok1) + 1) END AS context_after,
   CASE WHEN n % 13 = 0 THEN '' ELSE 'Course ' || source || ' > Unit ' || CAST(n_chars % 9 AS STRING)
     || ' > Lesson ' || CAST(pos % 5 AS STRING) END AS breadcrumb,
   CASE WHEN n % 13 = 0 THEN '' ELSE 'Task ' || lang END AS node_label,
