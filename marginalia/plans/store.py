@@ -1,94 +1,134 @@
 """Parquet tables of a review library.
 
 Every write is a new generation, so a reader never sees a half-written table.  Small
-keyed tables are written whole.  Stored findings are partitioned by a hash of the
-report, and storing reports writes only the buckets they fall into.
+keyed tables are written whole.  Stored findings are appended: each upload is a generation
+with the findings of its reports only, and a small table says which generation holds a
+report now.
+
+A writer claims the number after the generation it has read by creating a marker file,
+which only one can do; another writer's generation is never overwritten or left out of
+sight, the slower one fails and reads again.
 """
 
 from __future__ import annotations
 
-import uuid
-
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.operators import durable, merging
+from marginalia.operators.joins import lookup_join
 from marginalia.sources.portable import LONGS
 
-EXTRA = {"learned_terms": ("term",), "active_rules": ("suggestion_id",)}
+EXTRA = {
+    "learned_terms": ("term",), "active_rules": ("suggestion_id",),
+    "finding_generations": ("report_id", "generation"),
+}
+FINDINGS, HOLDERS = "report_findings", "finding_generations"
+
+
+class StoreConflict(RuntimeError):
+    """Another writer has changed the table since it was read."""
 
 
 class Store:
-    def __init__(self, spark: SparkSession, base: str, buckets: int = 256):
-        self.spark, self.base, self.buckets = spark, base.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
+        self._seen: dict[str, int] = {}
 
     # -- layout
     def _schema(self, name: str) -> T.StructType:
         fields = merging.COLLECTIONS[name][0] if name in merging.COLLECTIONS else EXTRA[name]
         return T.StructType([
-            T.StructField(f, T.LongType() if f in LONGS else T.StringType()) for f in fields
+            T.StructField(f, T.LongType() if f in LONGS or f == "generation" else T.StringType()) for f in fields
         ])
 
+    def _files(self, path: str):
+        """The file system and Hadoop path of a path."""
+        context = self.spark.sparkContext
+        hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(context._jsc.hadoopConfiguration()), hadoop
+
     def _found(self, pattern: str) -> list[str]:
         """Paths that match, in name order."""
-        context = self.spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(pattern)
-        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files, path = self._files(pattern)
         return sorted(s.getPath().toString() for s in files.globStatus(path) or [])
 
-    def _generations(self, name: str) -> list[str]:
-        """Complete generations, oldest first."""
-        return [p.rsplit("/", 1)[0] for p in self._found(f"{self.base}/{name}/gen-*/_SUCCESS")]
+    def _generations(self, name: str) -> dict[int, str]:
+        """Complete generations by number, oldest first."""
+        done = [p.rsplit("/", 1)[0] for p in self._found(f"{self.base}/{name}/gen-*/_SUCCESS")]
+        return {int(p.rsplit("-", 1)[1]): p for p in done}
+
+    def _latest(self, name: str) -> int:
+        return max(self._generations(name), default=-1)
 
-    def _next(self, name: str) -> str:
-        number = len(self._generations(name))
-        return f"{self.base}/{name}/gen-{number:08d}-{uuid.uuid4().hex[:8]}"
+    def _append(self, name: str, rows: DataFrame) -> int:
+        """Write rows as the generation after the one that was read; its number.
+
+        Raises ``StoreConflict`` if that number is taken.  A write that fails gives its
+        number back.
+        """
+        number = self._seen.get(name, self._latest(name)) + 1
+        claim, path = f"{self.base}/{name}/claim-{number:08d}", f"{self.base}/{name}/gen-{number:08d}"
+        files, marker = self._files(claim)
+        try:
+            files.create(marker, False).close()
+        except Py4JJavaError as error:
+            if "AlreadyExists" in str(error.java_exception.getClass().getName()):
+                raise StoreConflict(f"{name}: generation {number} belongs to another writer") from error
+            raise
+        try:
+            rows.select(*self._schema(name).names).write.mode("errorifexists").parquet(path)
+        except Exception:
+            files.delete(self._files(path)[1], True)
+            files.delete(marker, False)
+            raise
+        self._seen[name] = number
+        return number
 
     # -- keyed tables
     def read(self, name: str) -> DataFrame:
-        if name == "report_findings":
+        if name == FINDINGS:
             return self._findings()
         schema, generations = self._schema(name), self._generations(name)
+        self._seen[name] = max(generations, default=-1)
         if not generations:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(generations[-1])
+        return self.spark.read.schema(schema).parquet(generations[self._seen[name]])
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
         """Write a whole table as its next generation and read it back."""
-        rows.select(*self._schema(name).names).write.mode("errorifexists").parquet(self._next(name))
+        self._append(name, rows)
         return self.read(name)
 
-    # -- findings by report bucket
-    def _bucket(self):
-        return F.pmod(F.xxhash64("report_id"), F.lit(self.buckets)).cast("int")
-
-    def _findings(self, buckets: list[int] | None = None) -> DataFrame:
-        """Some buckets, or all, each from the newest generation that holds it."""
-        schema, newest = self._schema("report_findings"), {}
-        for generation in self._generations("report_findings"):
-            for path in self._found(f"{generation}/bucket=*"):
-                newest[int(path.rsplit("=", 1)[1])] = path
-        paths = [p for b, p in newest.items() if buckets is None or b in buckets]
-        if not paths:
+    # -- findings by generation
+    def _findings(self) -> DataFrame:
+        """The findings of each report from the generation that holds it."""
+        schema, generations = self._schema(FINDINGS), self._generations(FINDINGS)
+        holders = self.read(HOLDERS)
+        used = [r["generation"] for r in holders.select("generation").distinct().collect()]  # at most the uploads
+        if not used:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
+        rows = self.spark.read.schema(schema).parquet(*[generations[g] for g in used])
+        number = F.regexp_extract(F.col("_metadata.file_path"), r"/gen-(\d+)/", 1).cast("bigint")
+        held = lookup_join(rows.withColumn("generation", number), holders, ["report_id", "generation"], "inner")
+        return held.select(*schema.names)
 
     def store_findings(self, incoming: DataFrame) -> DataFrame:
-        """Replace all findings of the reports in ``incoming``.
+        """Replace all findings of the reports in ``incoming``; nothing else is written.
 
-        Only the touched buckets are written, as a new generation; nothing that may
-        still be read is changed, and a failed run leaves no visible trace.
+        The new findings are a generation of their own.  They become visible when the
+        table of holders names it, in one step for all reports.
         """
-        names = self._schema("report_findings").names
-        fresh = durable.stored(incoming.select(*names), "incoming")
-        touched = [  # at most the number of buckets
-            r["bucket"] for r in fresh.select(self._bucket().alias("bucket")).distinct().collect()
-        ]
-        old = self._findings(touched).select(*names)
-        merged = merging.replace_findings(old, fresh).withColumn("bucket", self._bucket())
-        (
-            merged.hint("rebalance", "bucket").write.mode("errorifexists")
-            .partitionBy("bucket").parquet(self._next("report_findings"))
-        )
-        return self.read("report_findings")
+        holders = self.read(HOLDERS)
+        fresh = durable.stored(incoming.select(*self._schema(FINDINGS).names), "incoming")
+        self._seen.pop(FINDINGS, None)
+        number = self._append(FINDINGS, fresh)
+        here = fresh.select("report_id").distinct().withColumn("generation", F.lit(number).cast("bigint"))
+        self._append(HOLDERS, merging.upsert(holders, here, ["report_id"]))
+        return self.read(FINDINGS)
+
+    def compact(self) -> DataFrame:
+        """Write the current findings as one generation; earlier ones are read no more."""
+        return self.store_findings(self.read(FINDINGS))

@@ -10,7 +10,7 @@ from marginalia import fixed
 from marginalia.operators import library, merging, review, tickets
 from marginalia.operators import rulebook as rb
 from marginalia.plans import flows
-from marginalia.plans.store import Store
+from marginalia.plans.store import Store, StoreConflict
 from marginalia.sinks import exports
 from marginalia.sources import portable, sheets
 from marginalia.streaming import flows as streams
@@ -32,7 +32,7 @@ def test_library_life_cycle(spark, tmp_path):
     one.mkdir(), two.mkdir()
     (one / "alpha_review.html").write_text(report("a1", "a2"))
     (one / "empty.html").write_text("<html></html>")
-    store = Store(spark, str(tmp_path / "store"), buckets=4)
+    store = Store(spark, str(tmp_path / "store"))
     book = rb.default(spark)
     first = flows.ingest(store, str(one), book, F.lit("2024-01-01T00:00:00+00:00"))
     assert [r["filename"] for r in first["rejected"].collect()] == ["empty.html"]
@@ -198,7 +198,7 @@ def test_streams_keep_cards_of_irregular_files(spark, tmp_path):
     assert sorted(r["issue_id"] for r in raw.collect()) == want
     streams.ingest_stream(spark, str(inbox), book, str(tmp_path / "out"), str(tmp_path / "m1")).awaitTermination()
     assert sorted(r["issue_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
-    store = Store(spark, str(tmp_path / "store"), buckets=2)
+    store = Store(spark, str(tmp_path / "store"))
     streams.store_stream(store, str(inbox), book, str(tmp_path / "m2")).awaitTermination()
     assert sorted(r["issue_id"] for r in store.read("report_findings").collect()) == want
     (inbox / "again.html").write_text(report("p1"))  # a copy of a stored report, and a new one
@@ -208,6 +208,46 @@ def test_streams_keep_cards_of_irregular_files(spark, tmp_path):
     assert store.read("reports").count() == 3
 
 
+def stored_finding(store, report_id, issue_id, text="x"):
+    names = store._schema("report_findings")
+    values = {f.name: (0 if f.dataType.simpleString() == "bigint" else "") for f in names.fields}
+    values |= {"report_id": report_id, "issue_id": issue_id, "finding_id": f"{report_id}-{issue_id}", "original": text}
+    return store.spark.createDataFrame([tuple(values[f.name] for f in names.fields)], names)
+
+
+def test_store_appends_and_replaces(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.read("report_findings").count() == 0
+    for report in ("a", "b", "c"):
+        store.store_findings(stored_finding(store, report, "1").unionByName(stored_finding(store, report, "2")))
+    written = [p for p in (tmp_path / "s" / "report_findings").glob("gen-*")]
+    assert len(written) == 3
+    # Each upload has written its own rows only.
+    assert [spark.read.parquet(str(p)).count() for p in sorted(written)] == [2, 2, 2]
+    store.store_findings(stored_finding(store, "b", "9", "new"))
+    rows = {(r["report_id"], r["issue_id"]) for r in store.read("report_findings").collect()}
+    assert rows == {("a", "1"), ("a", "2"), ("b", "9"), ("c", "1"), ("c", "2")}
+    store.compact()
+    assert {(r["report_id"], r["issue_id"]) for r in store.read("report_findings").collect()} == rows
+    assert store.read("finding_generations").select("generation").distinct().count() == 1
+
+
+def test_two_writers_cannot_both_win(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    terms = lambda *t: spark.createDataFrame([(x,) for x in t], "term string")
+    one.write("learned_terms", terms("a"))
+    one.read("learned_terms"), two.read("learned_terms")
+    one.write("learned_terms", terms("a", "b"))
+    with pytest.raises(StoreConflict):
+        two.write("learned_terms", terms("a", "c"))
+    assert {r[0] for r in two.read("learned_terms").collect()} == {"a", "b"}
+    two.write("learned_terms", terms("a", "b", "c"))  # after reading again
+    broken = terms("x").withColumn("term", F.raise_error(F.lit("broken")))
+    with pytest.raises(Exception, match="broken"):
+        two.write("learned_terms", broken)
+    assert two.write("learned_terms", terms("d")).count() == 1  # the failed write left nothing
+
+
 TICKET = {
     "id": 7, "key": "K-42", "fields": {
         "summary": "Work", "status": {"name": "Open"}, "assignee": None, "updated": "2024",
