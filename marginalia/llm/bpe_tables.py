@@ -18,7 +18,7 @@ WORDS = regex.compile(public_tokenizers.PATTERN)
 """What the byte-level tokenizer cuts a text into before it merges."""
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """The printable stand-ins of bytes: visible Latin-1 stays, the rest moves up from 256."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(visible)]
@@ -31,7 +31,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        back = _byte_of_char()
+        back = byte_of_char()
         ids = model["model"]["vocab"]
         self.token_bytes: dict[int, bytes] = {i: bytes(back[c] for c in t) for t, i in ids.items()}
         self.id_of = {b: i for i, b in self.token_bytes.items()}

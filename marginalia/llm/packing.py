@@ -15,7 +15,9 @@ ever sorted in one task.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.bpe_tables import Remembered
+from marginalia.llm.bpe_tables import Remembered, byte_of_char
 from marginalia.operators.durable import stored
 
 SEQUENCE = 4096
@@ -37,9 +39,16 @@ END_ID = 2
 REMEMBERED = 300_000
 """Encoded words a worker keeps in each of two generations."""
 
+LONG_WORD = 64
+"""Longer words are encoded where they stand and not remembered."""
+
 
 # ---- tokens
 
+_STEM = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+_STAND_INS = {b: c for c, b in byte_of_char().items()}
+
+
 class _Words(Remembered):
     """Ids of blank-separated words as little-endian bytes, encoded by the tokenizer."""
 
@@ -51,39 +60,54 @@ class _Words(Remembered):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
+        self.parts = Remembered(REMEMBERED)
+
+    def _encoded(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a run of lower-case letters or of points: a word of the tokenizer's model."""
+        found = self.parts.get(part) or self.parts.recall(part)
+        if found is None:
+            units = part if part.isascii() else part.encode().decode("latin-1").translate(_STAND_INS)
+            found = array("I", [t.id for t in self.model.tokenize(units)]).tobytes()
+            self.parts.keep(part, found)
+        return found
+
+    def __missing__(self, word: str) -> bytes:
+        """Latin letters, with points behind them or without, are lower-cased and go to the
+        model directly; all other words take the tokenizer's whole way."""
+        if len(word) > LONG_WORD:
+            return self._encoded(word)
+        found = self.recall(word)
+        if found is None:
+            plain = _STEM.fullmatch(word)
+            if plain is None:
+                found = self._encoded(word)
+            else:
+                found = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
+            self.keep(word, found)
+        return found
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text.
+    def ids(self, text: str) -> bytes:
+        """The ids of a text.
 
         The vocabulary drops white space before it cuts words, so the words between
-        blanks are encoded apart; each distinct one of the batch once.
+        blanks are encoded apart.
         """
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        met = {w: self.get(w) or self.recall(w) for words in split for w in set(words)}
-        new = [w for w, found in met.items() if found is None]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                met[w] = np.array(e.ids, "<u4").tobytes()
-                if len(w) <= 64:
-                    self.keep(w, met[w])
-        return [b"".join(map(met.__getitem__, words)) for words in split]
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _WORDS: dict[str, _Words] = {}
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text (little-endian unsigned 32-bit), slice by slice."""
-    words = _WORDS.get(path) or _WORDS.setdefault(path, _Words(path))
-    out, some, size = [], [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t)
-        if size > 4 << 20:
-            out += words.ids(some)
-            some, size = [], 0
-    return out + words.ids(some)
+    """Ids of each text (little-endian unsigned 32-bit)."""
+    if path not in _WORDS:
+        _WORDS[path] = _Words(path)
+    words = _WORDS[path]
+    return [words.ids(t) for t in texts]
 
 
 # ---- the cutting-stock problem on classes

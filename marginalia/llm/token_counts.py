@@ -45,7 +45,9 @@ _COUNTS: dict[str, _Counts] = {}
 
 def count_tokens(text: str, path: str) -> int:
     """Tokens of one text, special strings in it counting one each."""
-    counts = _COUNTS.get(path) or _COUNTS.setdefault(path, _Counts(path))
+    if path not in _COUNTS:
+        _COUNTS[path] = _Counts(path)
+    counts = _COUNTS[path]
     parts = counts.vocabulary.parts(text)
     return len(parts) - 1 + sum(sum(map(counts.__getitem__, words_of(p))) for p in parts)
 
