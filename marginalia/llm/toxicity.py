@@ -31,6 +31,9 @@ WINDOW = 4
 SAMPLE = 2500
 """Greatest number of training texts of each label."""
 
+PRIOR = 0.05
+"""The score of a window whose subwords were never met in training."""
+
 THRESHOLD = 0.3
 _GRAMS = (3, 4, 5)
 
@@ -206,10 +209,14 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, seed: int = 7)
             for s in take:
                 windows.append(ids[s : s + WINDOW])
                 target.append(label)
+        if not windows:
+            break
         target = np.array(target)
         share = np.where(target == 1, 0.5 / max(1, (target == 1).sum()), 0.5 / max(1, (target == 0).sum()))
         mass = share * len(target)
         for some in np.array_split(rng.permutation(len(windows)), max(8, len(windows) // 1024)):
+            if not len(some):
+                continue
             step += 1
             ids = np.concatenate([windows[i] for i in some])
             lengths = np.array([len(windows[i]) for i in some])
@@ -230,7 +237,9 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, seed: int = 7)
             adam("b", bias, p.sum(axis=0), 0.05)
             adam("e", embed, grad + 1e-6 * embed, 0.05)
         words_now = per_word(embed @ (soft[1] - soft[0]))
-    return Model((embed @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0]))
+    weights, offset = embed @ (soft[1] - soft[0]), float(bias[1] - bias[0])
+    weights[seen.sum(axis=0) == 0] = np.log(PRIOR / (1 - PRIOR)) - offset
+    return Model(weights.astype(np.float32), offset)
 
 
 def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
