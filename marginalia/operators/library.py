@@ -105,6 +105,21 @@ def draft_rows(reviews: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]
     return saved, parsed.filter(F.col("_p.status").isNull()).select(*KEY)
 
 
+def draft_counts(saved: DataFrame, cleared: DataFrame) -> DataFrame:
+    """Decisions saved and cleared per report."""
+    both = saved.select("report_id", F.lit(1).alias("s"), F.lit(0).alias("c")).unionAll(
+        cleared.select("report_id", F.lit(0).alias("s"), F.lit(1).alias("c"))
+    )
+    return both.groupBy("report_id").agg(F.sum("s").alias("saved"), F.sum("c").alias("cleared"))
+
+
+def stored_counts(findings: DataFrame) -> DataFrame:
+    """Findings stored per report, and how many of them can be looked up in the memory."""
+    return findings.groupBy("report_id").agg(
+        F.count(F.lit(1)).alias("stored"), F.count_if(F.col("fingerprint") != "").alias("matchable")
+    )
+
+
 def load_drafts(drafts: DataFrame, report_id: str) -> DataFrame:
     return drafts.filter(F.col("report_id") == report_id).select(
         "issue_id", "decision", F.col("note").alias("review_note"),

@@ -355,6 +355,40 @@ def changed_decisions(spark, sf_dir):
     return review.changed_decisions(before, after)
 
 
+# The id of an event is a hash of its fields, so the twin can make it too.
+EVENT_SQL = """
+, changed AS (SELECT report_id, issue_id, coalesce(decided, '') AS decision,
+  '{"review_note":"' || coalesce(note, '') || '"}' AS detail_json
+  FROM parsed WHERE NOT (coalesce(decided, '') = 'approved' AND note = 'Looks correct.') AND decided IS NOT NULL)
+SELECT md5(concat_ws(chr(31), report_id, issue_id, 'save_decisions', decision, 'me@x.test', detail_json,
+    '2024-05-01T00:00:00+00:00')) AS event_id, report_id, issue_id, 'save_decisions' AS action, decision,
+  'me@x.test' AS reviewer_email, 'Me' AS reviewer_name, detail_json, '2024-05-01T00:00:00+00:00' AS occurred_at
+FROM changed
+"""
+
+
+@query("recorded_events", sql(("reviews", "parsed"), EVENT_SQL))
+def recorded_events(spark, sf_dir):
+    after = bridge.reviews(spark, sf_dir)
+    before = after.filter("review_note = 'Looks correct.' AND decision = 'approved'")
+    changes = review.changed_decisions(before, after)
+    return library.event_rows(changes, "save_decisions", " Me@X.test", "Me", F.lit(bridge.AS_OF))
+
+
+@query("draft_counts", sql(("reviews", "parsed"), """
+SELECT report_id, count(*) FILTER (WHERE decided IS NOT NULL) AS saved, count(*) FILTER (WHERE decided IS NULL) AS cleared
+FROM parsed GROUP BY 1"""))
+def draft_counts(spark, sf_dir):
+    return library.draft_counts(*library.draft_rows(bridge.reviews(spark, sf_dir), F.lit(bridge.AS_OF)))
+
+
+@query("stored_counts", sql(("signatures",), """
+SELECT report_id, count(*) AS stored, count(*) FILTER (WHERE fingerprint <> '') AS matchable
+FROM signatures GROUP BY 1"""))
+def stored_counts(spark, sf_dir):
+    return library.stored_counts(bridge.stored(spark, sf_dir))
+
+
 @query("reuse_counts", sql(("reviews", "exact"), """
 SELECT r.report_id, count(*) FILTER (WHERE trim(r.decision) = '' AND e.decision IS NOT NULL) AS reused,
   count(*) FILTER (WHERE trim(r.decision) = '' AND e.decision IS NOT NULL) AS exact, CAST(0 AS BIGINT) AS near

@@ -52,14 +52,18 @@ def ingest(store: Store, path: str, book: rb.Rulebook, as_of: Column) -> dict[st
                                book.version, as_of)
     store.write("reports", merging.reupload(store.read("reports"), rows))
     rejected = parse.reports_without_findings(uploaded, here)
-    new_book, active, removed = refresh(store, book)
+    new_book, active, removed, newly = refresh(store, book)
     result = reopen(store, uploaded, new_book)
     return {**result, "rejected": rejected, "active": active, "removed": removed,
-            "book": new_book}
+            "book": new_book, "newly": newly, "counts": library.stored_counts(here)}
 
 
 def refresh(store: Store, book: rb.Rulebook, version: str = "learned"):
-    """Learning refresh over the whole store."""
+    """Learning refresh over the whole store.
+
+    Returns the new rulebook, the active suggestions, how many were removed, and those
+    that qualify now and did not at the last refresh, whose ids the store remembers.
+    """
     seen = durable.stored(learning.evidence(
         store.read("observations"), store.read("report_findings"), store.read("reports")
     ), "evidence")
@@ -70,8 +74,10 @@ def refresh(store: Store, book: rb.Rulebook, version: str = "learned"):
         durable.stored(new_book.terms, "terms"), new_book.targets,
         durable.stored(new_book.rules, "rules"), new_book.version,
     )
+    newly = durable.stored(learning.newly_qualified(active, store.read("active_rules")), "newly")
+    store.write("active_rules", active.select("suggestion_id").distinct())
     store.write("learned_terms", learning.learned_terms(active))
-    return new_book, active, removed
+    return new_book, active, removed, newly
 
 
 def reopen(store: Store, reports: DataFrame, book: rb.Rulebook,
@@ -92,26 +98,42 @@ def reopen(store: Store, reports: DataFrame, book: rb.Rulebook,
     return {"findings": findings, "reviews": durable.stored(review.prefill(reviews, matches), "reviews")}
 
 
-def save_drafts(store: Store, reviews: DataFrame, as_of: Column) -> DataFrame:
+def save_drafts(store: Store, reviews: DataFrame, as_of: Column, reviewer: str = "",
+                reviewer_name: str = "", action: str = "save_decisions") -> DataFrame:
+    """Save decisions; with a reviewer, each one that differs from the stored is an event."""
     saved, cleared = library.draft_rows(reviews, as_of)
-    return store.write(
-        "draft_reviews", merging.save_drafts(store.read("draft_reviews"), saved, cleared)
-    )
+    before = store.read("draft_reviews")
+    if reviewer:
+        old = before.withColumnRenamed("note", "review_note")
+        changes = review.changed_decisions(old, reviews)
+        events = library.event_rows(changes, action, reviewer, reviewer_name, as_of)
+        store.write("review_events", merging.merge_events(store.read("review_events"), events))
+    return store.write("draft_reviews", merging.save_drafts(before, saved, cleared))
 
 
 def publish(store: Store, findings: DataFrame, reviews: DataFrame, book: rb.Rulebook,
-            as_of: Column) -> dict[str, DataFrame]:
-    """Save drafts, publish decisions, learn from them, and prefill what is still open."""
-    save_drafts(store, reviews, as_of)
+            as_of: Column, reviewer: str = "", reviewer_name: str = "") -> dict[str, DataFrame]:
+    """Save drafts, publish decisions, learn from them, and prefill what is still open.
+
+    With a reviewer, changed decisions and the publishing of each report are recorded.
+    """
+    save_drafts(store, reviews, as_of, reviewer, reviewer_name)
+    if reviewer:
+        done = memory.publish_counts(findings, reviews).select(
+            "report_id", F.lit("").alias("issue_id"), F.lit("").alias("decision"),
+            F.to_json(F.struct("published", "skipped_blank", "skipped_unmatchable")).alias("detail_json"),
+        )
+        events = library.event_rows(done, "publish_decisions", reviewer, reviewer_name, as_of)
+        store.write("review_events", merging.merge_events(store.read("review_events"), events))
     names = store.read("reports").select("report_id", F.col("filename").alias("source_report"))
     fresh = memory.observations_from_reviews(findings, reviews, names, as_of)
     store.write(
         "observations", merging.upsert(store.read("observations"), fresh, ["observation_id"])
     )
-    new_book, active, removed = refresh(store, book)
+    new_book, active, removed, newly = refresh(store, book)
     opened = reopen(store, findings.select("report_id").distinct(), new_book)
     return {**opened, "counts": memory.publish_counts(findings, reviews), "active": active,
-            "removed": removed, "book": new_book}
+            "removed": removed, "book": new_book, "newly": newly}
 
 
 def reclassify_library(findings: DataFrame, book: rb.Rulebook) -> DataFrame:

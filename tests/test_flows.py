@@ -43,7 +43,13 @@ def test_library_life_cycle(spark, tmp_path):
     assert (stored["report_name"], stored["finding_count"], stored["reviewable_count"], stored["upload_count"]) == ("alpha", 2, 2, 1)
 
     done = reviews.select(*review.KEY, F.lit("R").alias("decision"), F.lit("").alias("review_note"))
-    published = flows.publish(store, findings, done, book, F.lit("2024-01-02T00:00:00+00:00"))
+    assert tuple(first["counts"].first())[1:] == (2, 2) and first["newly"].count() == 0
+    published = flows.publish(store, findings, done, book, F.lit("2024-01-02T00:00:00+00:00"), "Me@x.test")
+    events = store.read("review_events").collect()
+    assert sorted((r["action"], r["decision"], r["reviewer_email"]) for r in events) == [
+        ("publish_decisions", "", "me@x.test"), ("save_decisions", "rejected", "me@x.test"), ("save_decisions", "rejected", "me@x.test")]
+    flows.save_drafts(store, done, F.lit("2024-01-03T00:00:00+00:00"), "me@x.test")
+    assert store.read("review_events").count() == 3  # nothing has changed since
     assert tuple(published["counts"].first())[1:] == (2, 0, 0)
     assert store.read("observations").count() == 2 and store.read("draft_reviews").count() == 2
     # the store opened again: saved drafts come before memory
@@ -54,6 +60,10 @@ def test_library_life_cycle(spark, tmp_path):
     second = flows.ingest(store, str(two), published["book"], F.lit("2024-02-01T00:00:00+00:00"))
     # two courses share the rejected term now, so the rule layer answers
     assert [r["original"] for r in second["active"].collect()] == ["blorfword"]
+    assert [r["original"] for r in second["newly"].collect()] == ["blorfword"]
+    assert store.read("active_rules").count() == 1
+    again = flows.refresh(store, published["book"])
+    assert again[3].count() == 0  # known from the last refresh
     assert {r["comment"] for r in second["findings"].collect()} == {fixed.COMMENTS["protected"]}
     plain = flows.reopen(store, store.read("reports").filter("filename = 'beta.html'"), book)
     match = plain["reviews"].first()
