@@ -13,7 +13,7 @@ from marginalia.functions.comments import finalize_training_comments
 from marginalia.functions.decisions import parse_decision
 from marginalia.functions.signature import with_signature
 from marginalia.operators import classify as cl
-from marginalia.operators import learning, library, memory, merging, parse, review
+from marginalia.operators import durable, learning, library, memory, merging, parse, review
 from marginalia.operators import rulebook as rb
 from marginalia.plans import bridge
 from marginalia.plans.bridge import table
@@ -461,6 +461,65 @@ def final_rows(spark, sf_dir):
     return rows(merged).drop("finding_order")
 
 
+@query("final_csv", sql("merged", f"""
+SELECT {ID}, status, {policy_sql("comment", "checker", "original", "proposed")} AS comment FROM merged"""))
+def final_csv(spark, sf_dir):
+    """The final rows written as CSV files, one folder per report, and read back."""
+    from marginalia.sinks import exports
+
+    merged = review.apply_reviews(bridge.classified(spark, sf_dir), bridge.reviews(spark, sf_dir))
+    path = durable.fresh_path(spark, "final-csv")
+    exports.write_csv(exports.final_rows(merged), path)
+    back = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
+    return back.select("report_id", *[tx.present(F.col(c)).alias(c) for c in fixed.FINAL_FIELDS])
+
+
+@query("rulebook_file", """
+SELECT 'rule' AS part, field, split_part(text, ' ', 3) AS entry, status, 'rule ' || item_id AS comment FROM (
+  SELECT *, CASE WHEN item_id % 2 = 0 THEN '*' ELSE 'body_value' END AS field,
+    CASE item_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'needs_change' END AS status FROM benchmark)
+UNION ALL SELECT DISTINCT 'term', '', lower(trim(split_part(text, ' ', 1))), '', '' FROM benchmark
+UNION ALL SELECT DISTINCT 'target', '', lower(trim(split_part(text, ' ', 2))), '', '' FROM benchmark""")
+def rulebook_file(spark, sf_dir):
+    """The rulebook written as the JSON document and read back."""
+    from marginalia.sinks import exports
+
+    path = durable.fresh_path(spark, "rulebook")
+    exports.write_rulebook(bridge.rulebook(spark, sf_dir), path)
+    book, blank = rb.load(spark, path), F.lit("")
+    words = lambda rows, part: rows.select(
+        F.lit(part).alias("part"), blank.alias("field"), F.col("term").alias("entry"), blank.alias("status"), blank.alias("comment")
+    )
+    rules = book.rules.select(F.lit("rule").alias("part"), "field", F.col("original").alias("entry"), "status", "comment")
+    return rules.unionByName(words(book.terms, "term")).unionByName(words(book.targets, "target"))
+
+
+@query("exported_memory", sql(("observations", "signatures", "parsed"), """
+SELECT 'observations' AS collection, observation_id AS id, status AS detail FROM observations
+UNION ALL SELECT 'report_findings', sha256(report_id || chr(31) || issue_id), fingerprint FROM signatures
+UNION ALL SELECT 'draft_reviews', report_id || '/' || issue_id, decided FROM parsed WHERE decided IS NOT NULL"""))
+def exported_memory(spark, sf_dir):
+    """The library's collections written as a portable export and read back."""
+    from marginalia.sources import portable
+
+    drafts, _ = library.draft_rows(bridge.reviews(spark, sf_dir), F.lit(bridge.AS_OF))
+    tables = {
+        "observations": bridge.observations(spark, sf_dir), "report_findings": bridge.stored(spark, sf_dir),
+        "reports": bridge.stored_reports(spark, sf_dir), "draft_reviews": drafts,
+        "review_events": recorded_events(spark, sf_dir),
+        "ticket_links": spark.createDataFrame([], ", ".join(f"{n} string" for n in library.LINK_FIELDS)),
+    }
+    path = durable.fresh_path(spark, "export")
+    portable.write_export(tables, path, bridge.AS_OF)
+    back = portable.read_export(spark, path)
+    part = lambda name, key, detail: back[name].select(
+        F.lit(name).alias("collection"), key.alias("id"), F.col(detail).alias("detail")
+    )
+    return part("observations", F.col("observation_id"), "status").unionByName(
+        part("report_findings", F.col("finding_id"), "fingerprint")
+    ).unionByName(part("draft_reviews", F.concat_ws("/", "report_id", "issue_id"), "decision"))
+
+
 @query("comment_counts", sql(("merged", "parsed"), f"""
 SELECT m.report_id, m.kept, m.raw - m.kept AS suppressed, coalesce(c.n, 0) AS confirmed_changes FROM (
   SELECT report_id, count(*) FILTER (WHERE {policy_sql("comment", "checker", "original", "proposed")} <> '') AS kept,
