@@ -153,12 +153,15 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, seed: int = 7)
             low = data.tobytes()
             ids += [numbers.setdefault(low[s:e], len(numbers)) for s, e in zip(starts.tolist(), ends.tolist())]
         docs.append(np.array(ids, np.int64))
+    if not numbers:
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log(PRIOR / (1 - PRIOR))))
     joined = b"\n".join(numbers)
     found, n_words, _ = subwords(joined)
     bucket = np.concatenate([b for b, _ in found])
     owner = np.concatenate([o for _, o in found])
     order = np.argsort(owner, kind="stable")
-    bucket, owner = bucket[order], owner[order]
+    used, bucket = np.unique(bucket, return_inverse=True)  # only met buckets are trained
+    bucket, owner, size_used = bucket[order], owner[order], len(used)
     first = np.searchsorted(owner, np.arange(n_words + 1))
     size = np.maximum(np.diff(first), 1)
 
@@ -166,7 +169,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, seed: int = 7)
         return np.bincount(owner, weights[bucket], n_words) / size
 
     # The first guess at the telling windows: smoothed log odds of subwords over texts.
-    seen = np.zeros((2, BUCKETS))
+    seen = np.zeros((2, size_used))
     for ids, label in zip(docs, y):
         if len(ids):
             words = np.unique(ids)
@@ -176,7 +179,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, seed: int = 7)
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     odds *= (seen.sum(axis=0) > 1)
 
-    embed = rng.normal(0, 0.1, (BUCKETS, WIDTH))
+    embed = rng.normal(0, 0.1, (size_used, WIDTH))
     soft = rng.normal(0, 0.3, (2, WIDTH))
     bias = np.zeros(2)
     m1 = {k: np.zeros_like(v) for k, v in (("e", embed), ("s", soft), ("b", bias))}
@@ -232,13 +235,14 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, seed: int = 7)
             p[np.arange(len(some)), target[some]] -= 1
             p *= mass[some, None] / len(some)
             back = p @ soft
-            grad = np.stack([np.bincount(slots, back[row, d] * weight, BUCKETS) for d in range(WIDTH)], axis=1)
+            grad = np.stack([np.bincount(slots, back[row, d] * weight, size_used) for d in range(WIDTH)], axis=1)
             adam("s", soft, p.T @ hidden, 0.05)
             adam("b", bias, p.sum(axis=0), 0.05)
             adam("e", embed, grad + 1e-6 * embed, 0.05)
         words_now = per_word(embed @ (soft[1] - soft[0]))
-    weights, offset = embed @ (soft[1] - soft[0]), float(bias[1] - bias[0])
-    weights[seen.sum(axis=0) == 0] = np.log(PRIOR / (1 - PRIOR)) - offset
+    offset = float(bias[1] - bias[0])
+    weights = np.full(BUCKETS, np.log(PRIOR / (1 - PRIOR)) - offset)
+    weights[used] = embed @ (soft[1] - soft[0])
     return Model(weights.astype(np.float32), offset)
 
 

@@ -74,6 +74,7 @@ def test_toxicity_of_odd_rows(documents, spark):
     assert toxicity.score(documents([]), labels(spark, marks)).count() == 0
     assert {r.predicted for r in toxicity.score(documents(rows), labels(spark, [])).collect()} == {0}
     assert toxicity.score(documents(rows), labels(spark, [(4, 1, 1)])).count() == len(rows)
+    assert toxicity.train(["!!", ""], [0, 1]).scores(["some words", ""])[0] < 0.1
 
 
 def test_windows_run_over_the_parts_of_long_texts():
