@@ -22,13 +22,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
     ship(spark)
-    return exact_dedup.keep_one_of_each(spark, docs, sf_dir)
+    return exact_dedup.keep_one_row_of_each(spark, docs, sf_dir)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate class the document with the smallest id."""
     ship(spark)
-    return chosen_path.keep_one_of_each(spark, docs, sf_dir)
+    return chosen_path.keep_one_row_of_each(spark, docs, sf_dir)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.components import components
+from marginalia.llm.one_row import chosen_rows, row_key
 from marginalia.llm.streams import local_roots, over_groups
 from marginalia.llm.words import batched_words, mix, shingles
 from marginalia.operators.durable import stored
@@ -275,18 +276,9 @@ def _verify(table: pa.Table, bounds: np.ndarray, similarity: float) -> Iterator[
         )
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One row per input row: id, class_id, n_links, n_shingles.
-
-    Rows are linked when the Jaccard similarity of their sets of five-word shingles is at
-    least ``similarity``; ``n_links`` counts the other rows that a row is linked to, rows
-    of an equal set included, and ``class_id`` is the smallest id of all rows that links
-    connect.  A text of fewer than five words is one shingle; null texts and texts without
-    words have no links and are classes of their own.  Null ids get the class of their
-    text, and a class without ids has a null class_id.  Repeated rows count as rows.
-    Other columns are not read; an empty table gives no rows.
-    """
+def classes_of_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row per input row: _id, _text_key, set and root (null without words), class_id, n_links, n."""
     runs = runs_for(recall, similarity)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_text_key", F.xxhash64("_text"))
@@ -341,10 +333,25 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = joined.groupBy("root").agg(F.min("least_id").alias("class_id"))
     final = stored(
         joined.join(named, "root").select(
-            "set", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "n"
+            "set", "root", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "n"
         ), "path-final",
     )
-    return signed.select("_id", "set").join(final, "set", "left").select(
+    return signed.select("_id", "_text_key", "set").join(final, "set", "left")
+
+
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row per input row: id, class_id, n_links, n_shingles.
+
+    Rows are linked when the Jaccard similarity of their sets of five-word shingles is at
+    least ``similarity``; ``n_links`` counts the other rows that a row is linked to, rows
+    of an equal set included, and ``class_id`` is the smallest id of all rows that links
+    connect.  A text of fewer than five words is one shingle; null texts and texts without
+    words have no links and are classes of their own.  Null ids get the class of their
+    text, and a class without ids has a null class_id.  Repeated rows count as rows.
+    Other columns are not read; an empty table gives no rows.
+    """
+    return classes_of_rows(docs, id_col, text_col, similarity, recall).select(
         F.col("_id").alias(id_col),
         F.when(F.col("set").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
@@ -364,3 +371,18 @@ def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = similar_sets(docs).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
     stays = F.col("doc_id").isNull()
     return docs.filter(~stays).join(classes, "doc_id", "left_semi").unionByName(docs.filter(stays))
+
+
+def keep_one_row_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate class, with its columns: the one with the smallest id.
+
+    Exactly one row stays of a class, whether its ids are repeated or all null.  A text
+    without words is a class with the rows that agree in id and text.
+    """
+    rows = classes_of_rows(docs).select("_id", "_text_key", "root")
+    own = row_key(F.col("_id"), F.col("_text_key"))
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("_id"), F.col("_text_key").alias("_text_key")))
+    group = F.coalesce(F.concat(F.lit("#"), F.hex("root")), own).alias("_class")
+    best = rows.groupBy(group).agg(least.alias("x")).select("x.*")
+    text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return chosen_rows(docs, row_key(F.col("doc_id"), text_key), best.select(own.alias("_row_key")))

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.llm.one_row import chosen_rows, row_key
 from marginalia.operators.durable import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,6 +112,16 @@ def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(~stays).join(kept, "doc_id", "left_semi").unionByName(docs.filter(stays))
 
 
+def keep_one_row_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts, with its columns: the one with the greatest id.
+
+    Exactly one row stays of a group, whether its ids are repeated or all null.
+    """
+    groups = exact_groups(docs).filter("kept")
+    chosen = groups.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_row_key"))
+    return chosen_rows(docs, row_key(F.col("doc_id"), F.sha2(normalised(F.col("text")), 256)), chosen)
+
+
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with the document that stands for its text."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

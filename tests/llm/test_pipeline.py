@@ -47,3 +47,25 @@ def test_run_is_its_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     key = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in df.collect())
     assert key(got) == key(docs)
+
+
+def test_repeated_rows_and_null_ids_stay_once(spark, documents):
+    long = " ".join(f"word{k}" for k in range(100))
+    rows = [(1, "One text that stands here"), (1, "one TEXT that stands here"), (1, "One text that stands here")]
+    rows += [(None, "no id has this text at all")] * 3 + [(None, "One text that stands here"), (2, None), (2, None), (None, ""), (5, "!!"), (5, "??")]
+    rows += [(7, long), (7, long), (None, long + " more"), (7, "another text under the same id seven")]
+    rows += [(None, "alpha " + long.upper().replace("WORD", "t")), (None, "beta " + long.upper().replace("WORD", "t"))]
+    docs, stages = documents(rows), dict(corpus_pipeline.STAGES)
+    exact = stored(stages["exact"](spark, docs, ""), "test-exact")
+    got = sorted([(r.doc_id, (r.text or "").lower()) for r in exact.collect()], key=repr)
+    best = {}
+    for i, t in rows:
+        t = (t or "").lower()
+        best[t] = i if best.get(t) is None else best[t] if i is None else max(i, best[t])
+    assert got == sorted([(i, t) for t, i in best.items()], key=repr)
+    left = [(r.doc_id, r.text) for r in stages["near"](spark, docs, "").collect()]
+    assert sum(t == long for _, t in left) == 1 and sum("more" in (t or "") for _, t in left) == 0
+    assert sum((t or "").lower().startswith("one text") for _, t in left) == 1 and sum((t or "").startswith("no id") for _, t in left) == 1
+    assert sum((t or "").startswith(("alpha", "beta")) for _, t in left) == 1 and (7, "another text under the same id seven") in left
+    empty = sorted((str(i), t or "") for i, t in left if not (t or "").strip("!?"))
+    assert empty == [("2", ""), ("5", "!!"), ("5", "??"), ("None", "")]
