@@ -82,3 +82,21 @@ def test_windows_run_over_the_parts_of_long_texts():
     text = "fine day " * 130_000 + "zorg zorg zorg zorg " + "fine day " * 20
     whole, alone = toxicity.text_logits([text], weights)[0], toxicity.text_logits(["zorg zorg zorg zorg"], weights)[0]
     assert abs(whole - alone) < 1e-6
+
+
+def test_unknown_languages_and_long_gibberish_are_rejected(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in docs.select("doc_id", "text", "lang").collect() if r.text and len(r.text) > 300]
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (300, 1000, 4000, 20_000, 100_000) for _ in range(20)]
+    rate = lambda model, texts: sum(model.predict(t)[2] for t in texts) / len(texts)
+    got = {}
+    for out in ("en", "fr", "de"):
+        model = language_id.fit(docs.filter(language_id.training_rows(docs) & (F.col("lang") != out)))
+        known = [r.text for r in rows if r.lang != out and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+        got[out] = rate(model, [r.text for r in rows if r.lang == out]), rate(model, noise), rate(model, known)
+    assert all(unknown >= 0.8 and gibberish >= 0.99 and clean <= 0.03 for unknown, gibberish, clean in got.values()), got
