@@ -1,7 +1,7 @@
 """Toxicity by averaged subword embeddings and a linear softmax, learned together.
 
-Words are bags of hashed byte 3- to 5-grams with word ends, plus the word itself.  A
-window of a few words is the average of its words' averages; a softmax over the window's
+Words are bags of hashed byte 3- to 5-grams with word ends; a word of more than three
+letters has no feature of its own.  A window of a few words is the average of its words' averages; a softmax over the window's
 vector gives its score, and a text scores as its worst window.  Embeddings and softmax are
 trained together in numpy on texts that are labelled as a whole: each round takes the
 windows that score worst now, so the windows that make a text toxic are found while
