@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from marginalia.llm import (
-    block_knn, bpe_codec, chosen_path, disclosure, exact_dedup, language_id, packing, token_counts, toxicity, warc,
+    block_knn, bpe_codec, chosen_path, code_refinement, disclosure, exact_dedup, language_id, packing, quality,
+    token_counts, toxicity, warc, whitening,
 )
 
 QUERIES = {
@@ -17,10 +18,14 @@ QUERIES = {
     "op8_disclosure": disclosure.op8_disclosure,
     "op9_packing": packing.op9_packing,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_quality": quality.op12_quality,
+    "op13_code_refinement": code_refinement.op13_code_refinement,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_warc_archives": warc.ORACLE,
     "op4_block_knn": block_knn.ORACLE,
+    "op13_code_refinement": code_refinement.ORACLE,
 }
