@@ -10,8 +10,10 @@ words with a bad pair are merged exactly.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -19,25 +21,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.bpe_tables import SPECIAL, Remembered, vocabulary, words_of
+from marginalia.llm.bpe_tables import LONG_TEXT, SPECIAL, Remembered, vocabulary, words_of
+from marginalia.llm.held import released
 
-REMEMBERED = 400_000
-"""Encoded words a worker keeps in each of two generations."""
+REMEMBERED = 192 << 20
+"""Bytes of encoded words that a worker keeps."""
+
+JUDGED = 1 << 20
+"""Judged pairs a worker keeps; beyond that, those of the batch at hand stay (the frequent
+ones are among them) and others are judged again when they are met again."""
+
+LISTED = 1 << 16
+"""Words of a long text that are encoded together."""
 
 LONG_WORD = 64
 """Longer words are encoded where they stand and not remembered."""
 
 
+class _Entries(Remembered):
+    """Words with (ids as text, their number, decoded)."""
+
+    ENTRY = 330
+
+    def size_of(self, value: tuple[str, int, bytes]) -> int:
+        return len(value[0]) + len(value[2])
+
+
 class Codec:
     """Encodes and decodes words of one vocabulary, remembering what it has met."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proved: bytes | None = None):
         self.vocabulary = vocabulary(path)
-        self.whole = {b: self.vocabulary.id_of[b] for b in self.vocabulary.whole}
+        self.whole = self.vocabulary.whole(proved)
         self.longest = max(map(len, self.whole))
         self.pairs = np.empty(0, np.int64)  # sorted keys of judged pairs
         self.good = np.empty(0, bool)
-        self.words = Remembered(REMEMBERED)  # word -> (ids as text, their number, decoded)
+        self.words = _Entries(REMEMBERED)
         self.merged = self.proposed = 0
 
     def propose(self, raw: bytes) -> list[int]:
@@ -53,16 +72,23 @@ class Codec:
 
     def _judge(self, keys: np.ndarray) -> np.ndarray:
         """For each pair key whether the two tokens stay apart when encoded together."""
-        new = np.setdiff1d(keys, self.pairs)
+        new = np.unique(keys)
+        if len(self.pairs):
+            new = new[self.pairs[np.minimum(np.searchsorted(self.pairs, new), len(self.pairs) - 1)] != new]
         if len(new):
             v = self.vocabulary
             verdict = np.empty(len(new), bool)
             for i, key in enumerate(new.tolist()):
                 a, b = divmod(key, v.size)
                 verdict[i] = v.merge(v.token_bytes[a] + v.token_bytes[b]) == [a, b]
-            order = np.argsort(both := np.concatenate([self.pairs, new]), kind="stable")
-            self.pairs, self.good = both[order], np.concatenate([self.good, verdict])[order]
-        return self.good[np.searchsorted(self.pairs, keys)]
+            at = np.searchsorted(self.pairs, new)
+            self.pairs, self.good = np.insert(self.pairs, at, new), np.insert(self.good, at, verdict)
+        found = np.searchsorted(self.pairs, keys)
+        good = self.good[found]
+        if len(self.pairs) > JUDGED:
+            met = np.unique(found)
+            self.pairs, self.good = self.pairs[met], self.good[met]
+        return good
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word: proposals, one vectorised check of all pairs, repairs."""
@@ -97,23 +123,62 @@ class Codec:
                 self.words.keep(w, entry)
         return met
 
-    def round_trips(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
-        """Per text (ids joined by commas, number of ids, the decoded text)."""
+    def _runs(self, text: str) -> Iterator[tuple[str, int, bytes]]:
+        """(ids joined by commas, their number, decoded) of one run of words of a long text
+        after the other."""
+        special = self._entry([self.vocabulary.special[SPECIAL]])
+        for i, part in enumerate(self.vocabulary.parts(text)):
+            if i:
+                yield special
+            words = iter(words_of(part))
+            while some := list(islice(words, LISTED)):
+                met = self.learn(set(some))
+                ids, n, raw = zip(*(met[w] for w in some))
+                yield ",".join(ids), sum(n), b"".join(raw)
+
+    def encoded(self, texts: list[str]) -> Iterator[Iterator[tuple[str, int, bytes]]]:
+        """Per text the runs of (ids joined by commas, their number, decoded bytes).
+
+        Short texts are learned together and are one run each; a long text gives its runs
+        one by one and is never held as a list of words.
+        """
         special = self._entry([self.vocabulary.special[SPECIAL]])
         for some in _slices(texts):
-            cut = [[list(words_of(p)) for p in self.vocabulary.parts(t)] for t in some]
+            if len(some[0]) > LONG_TEXT:
+                yield self._runs(some[0])
+                continue
+            cut = [[words_of(p) for p in self.vocabulary.parts(t)] for t in some]
             met = self.learn({w for parts in cut for words in parts for w in words})
             for parts in cut:
                 found = [met[w] for w in parts[0]]
                 for words in parts[1:]:
                     found.append(special)
                     found += [met[w] for w in words]
-                ids, n, raw = zip(*found) if found else ((), (), ())
-                yield ",".join(ids), sum(n), b"".join(raw).decode("utf-8", "replace")
+                if found:
+                    ids, n, raw = zip(*found)
+                    yield iter([(",".join(ids), sum(n), b"".join(raw))])
+                else:
+                    yield iter(())
+
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Per text (number of ids, digest of the ids joined by commas, of the decoded text)."""
+        for runs in self.encoded(texts):
+            total, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+            decoder = codecs.getincrementaldecoder("utf-8")("replace")
+            for joined, n, raw in runs:
+                ids.update(f",{joined}".encode() if total else joined.encode())
+                decoded.update(decoder.decode(raw).encode())
+                total += n
+            decoded.update(decoder.decode(b"", True).encode())
+            yield total, ids.hexdigest(), decoded.hexdigest()
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        for runs in self.encoded(texts):
+            yield [int(x) for joined, _, _ in runs for x in joined.split(",")]
 
     def encode(self, text: str) -> list[int]:
-        joined = next(self.round_trips([text]))[0]
-        return [int(x) for x in joined.split(",")] if joined else []
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.vocabulary.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -122,16 +187,16 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, proved: bytes | None = None) -> Codec:
     """The worker's codec of a vocabulary file."""
-    return _CODECS.get(path) or _CODECS.setdefault(path, Codec(path))
+    return _CODECS.get(path) or _CODECS.setdefault(path, Codec(path, proved))
 
 
 def _slices(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
-    """Consecutive texts of a few million characters together."""
+    """Consecutive texts of a few million characters together; long texts alone."""
     start = size = 0
     for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
+        if i > start and (size + len(t) > most or len(t) > LONG_TEXT or len(texts[start]) > LONG_TEXT):
             yield texts[start:i]
             start, size = i, 0
         size += len(t)
@@ -146,15 +211,16 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
+    proved = vocabulary(path).proved
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(path, proved)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [[int(x) for x in joined.split(",") if x] for joined, _, _ in own.round_trips(texts)]
+            ids = list(own.encode_all(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["_id", "ids"])
 
-    return rows.mapInArrow(encoded, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(released(encoded), f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
 
 
 def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,22 +232,22 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
+    proved = vocabulary(path).proved
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        own = codec(path, proved)
         for batch in batches:
             counts, ids, decoded = [], [], []
-            for joined, n, back in own.round_trips([t or "" for t in batch.column(1).to_pylist()]):
+            for n, of_ids, of_text in own.digests([t or "" for t in batch.column(1).to_pylist()]):
                 counts.append(n)
-                ids.append(sha(joined))
-                decoded.append(sha(back))
+                ids.append(of_ids)
+                decoded.append(of_text)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 ["_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    out = rows.mapInArrow(digested, f"_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    out = rows.mapInArrow(released(digested), f"_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from functools import cached_property, lru_cache
 
 import public_tokenizers
@@ -87,10 +88,14 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
     @cached_property
-    def whole(self) -> frozenset[bytes]:
-        """Token texts that encode alone to exactly their own id, proved by merging each."""
-        own = {b: i for b, i in self.id_of.items()}
-        return frozenset(b for b, i in own.items() if self.merge(b) == [i])
+    def proved(self) -> bytes:
+        """Ids of the tokens whose text encodes alone to exactly this id, proved by merging
+        each: done on the driver once per vocabulary file, and sent to the tasks."""
+        return array("I", sorted(i for b, i in self.id_of.items() if self.merge(b) == [i])).tobytes()
+
+    def whole(self, proved: bytes | None = None) -> dict[bytes, int]:
+        """Texts and ids of the proved tokens."""
+        return {self.token_bytes[i]: i for i in array("I", proved or self.proved)}
 
     def parts(self, text: str) -> list[str]:
         """The text between special tokens."""
@@ -102,9 +107,13 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+LONG_TEXT = 1 << 20
+"""Characters beyond which the words of a text are not listed at once."""
+
+
 def words_of(text: str):
     """The words of a text; long texts give them one by one, without a list of all."""
-    if len(text) <= 1 << 20:
+    if len(text) <= LONG_TEXT:
         return WORDS.findall(text)
     return (m.group() for m in WORDS.finditer(text))
 
@@ -112,17 +121,27 @@ def words_of(text: str):
 class Remembered(dict):
     """What a worker has computed per word, in two generations of limited size.
 
-    When the young one is full it becomes the old one; what is met again moves back, so
-    frequent words stay while rare ones go.
+    ``limit`` bounds the bytes of both together, counting what Python itself needs for an
+    entry.  When the young one is full it becomes the old one; what is met again moves back,
+    so frequent words stay while rare ones go.
     """
 
+    ENTRY = 190
+    """Bytes of an entry besides its text and value: slots of the table, two object heads."""
+
     def __init__(self, limit: int):
-        self.limit, self.old = limit, {}
+        self.limit, self.used, self.old = limit // 2, 0, {}
+
+    def size_of(self, value) -> int:
+        """Bytes of a value; small integers need none of their own."""
+        return len(value) if isinstance(value, bytes) else 0
 
     def keep(self, word: str, value) -> None:
-        if len(self) >= self.limit:
+        if self.used >= self.limit:
             self.old = dict(self)
             self.clear()
+            self.used = 0
+        self.used += self.ENTRY + len(word) + self.size_of(value)
         self[word] = value
 
     def recall(self, word: str):

@@ -19,9 +19,9 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.bpe_tables import Remembered, byte_of_char
+from marginalia.llm.held import released
 from marginalia.operators.durable import stored
 
 SEQUENCE = 4096
@@ -36,8 +37,11 @@ CLASS_WIDTH = 8
 """Lengths are rounded up to multiples of this when patterns are made."""
 
 END_ID = 2
-REMEMBERED = 300_000
-"""Encoded words a worker keeps in each of two generations."""
+REMEMBERED = 72 << 20
+"""Bytes of encoded words that a worker keeps, and a third as much of their stems."""
+
+RUN = 1 << 18
+"""Characters of a text that are cut into words together."""
 
 LONG_WORD = 64
 """Longer words are encoded where they stand and not remembered."""
@@ -61,7 +65,7 @@ class _Words(Remembered):
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
-        self.parts = Remembered(REMEMBERED)
+        self.parts = Remembered(REMEMBERED // 3)
 
     def _encoded(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -90,24 +94,50 @@ class _Words(Remembered):
             self.keep(word, found)
         return found
 
-    def ids(self, text: str) -> bytes:
-        """The ids of a text.
+    def runs(self, text: str) -> Iterator[bytes]:
+        """The ids of a text, one run of whole words after the other.
 
         The vocabulary drops white space before it cuts words, so the words between
         blanks are encoded apart.
         """
+        start = 0
+        while len(text) - start > RUN:
+            end = max(text.rfind(" ", start, start + RUN), text.rfind("\n", start, start + RUN))
+            if end < 0:  # a word longer than a run
+                ends = [e for e in (text.find(" ", start + RUN), text.find("\n", start + RUN)) if e >= 0]
+                end = min(ends, default=len(text))
+            yield self._ids(text[start:end])
+            start = end + 1
+        yield self._ids(text[start:])
+
+    def _ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _WORDS: dict[str, _Words] = {}
 
 
-def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text (little-endian unsigned 32-bit)."""
-    if path not in _WORDS:
-        _WORDS[path] = _Words(path)
-    words = _WORDS[path]
-    return [words.ids(t) for t in texts]
+def words(path: str) -> _Words:
+    """The worker's encoder of a vocabulary file."""
+    return _WORDS.get(path) or _WORDS.setdefault(path, _Words(path))
+
+
+def token_ids(text: str, path: str) -> bytes:
+    """Ids of a text (little-endian unsigned 32-bit)."""
+    return b"".join(words(path).runs(text))
+
+
+def _pieces(runs: Iterator[bytes], sequence: int) -> Iterator[bytes]:
+    """The same bytes in pieces of ``sequence`` ids, the last one shorter."""
+    held, most = b"", 4 * sequence
+    for run in runs:
+        held += run
+        whole = len(held) - len(held) % most
+        for at in range(0, whole, most):
+            yield held[at : at + most]
+        held = held[whole:]
+    if held:
+        yield held
 
 
 # ---- the cutting-stock problem on classes
@@ -248,17 +278,17 @@ def cut(docs: DataFrame, path: str, sequence: int = SEQUENCE, id_col: str = "doc
     names = ["_row", "start", "length", "ids_crc32", "doc_tokens", "_class", "_nth"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, nth = TaskContext.get().partitionId(), {}
+        task, nth, own = TaskContext.get().partitionId(), {}, words(path)
         for batch in batches:
-            out = []
-            for i, raw in enumerate(token_ids([t or "" for t in batch.column(1).to_pylist()], path)):
-                raw += end
-                n = len(raw) // 4
-                for start in range(0, n, sequence):
-                    length = min(sequence, n - start)
+            out, texts = [], batch.column(1)
+            for i in range(batch.num_rows):
+                found = [(len(p) // 4, zlib.crc32(p)) for p in _pieces(chain(own.runs(texts[i].as_py() or ""), [end]), sequence)]
+                n, start = sum(length for length, _ in found), 0
+                for length, crc in found:
                     c = -(-length // CLASS_WIDTH) if length < sequence else 0  # 0: a whole sequence
                     nth[c] = nth.get(c, -1) + 1
-                    out.append((i, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n, c, nth[c]))
+                    out.append((i, start, length, crc, n, c, nth[c]))
+                    start += length
             if out:
                 data = dict(zip(names, map(np.array, zip(*out))))
                 yield pa.RecordBatch.from_arrays(
@@ -268,7 +298,7 @@ def cut(docs: DataFrame, path: str, sequence: int = SEQUENCE, id_col: str = "doc
                 )
 
     schema = f"_id {kind}, " + ", ".join(f"{x} bigint" for x in names[1:]) + ", _task bigint"
-    return rows.mapInArrow(pieces, schema)
+    return rows.mapInArrow(released(pieces), schema)
 
 
 def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,28 +318,33 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, id_col: str = "do
     before = Window.partitionBy("_class").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_class", "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
 
-    @F.pandas_udf("bigint")
-    def sequence_of(classes: pd.Series, ranks: pd.Series) -> pd.Series:
-        c, r = classes.to_numpy(), ranks.to_numpy()
-        out = r.copy()  # whole sequences are numbered first, by their rank
-        for one in np.unique(c):
-            if one:
-                mine = c == one
-                first, seq, per = slots[int(one)].T
-                at = np.searchsorted(first, r[mine], side="right") - 1
-                out[mine] = whole + seq[at] + (r[mine] - first[at]) // per[at]
-        return pd.Series(out)
-
-    placed = pieces.join(starts, ["_class", "_task"]).withColumn("_rank", F.col("_first") + F.col("_nth"))
-    numbered = placed.select(
-        F.col("_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "_rank", "_class",
-        sequence_of("_class", "_rank").alias("sequence_id"),
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, r = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            out = r.copy()  # whole sequences are numbered first, by their rank
+            for one in np.unique(c):
+                if one:
+                    mine = c == one
+                    first, seq, per = slots[int(one)].T
+                    at = np.searchsorted(first, r[mine], side="right") - 1
+                    out[mine] = whole + seq[at] + (r[mine] - first[at]) // per[at]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "sequence_id"])
+
+    placed = pieces.join(starts, ["_class", "_task"]).select(
+        "_class", (F.col("_first") + F.col("_nth")).alias("_rank"), "_id", "start", "length", "ids_crc32", "doc_tokens"
+    )
+    kind = placed.schema["_id"].dataType.simpleString()
+    numbered = placed.mapInArrow(
+        sequences, f"_class bigint, _rank bigint, _id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint"
     )
     earlier = (
         Window.partitionBy("sequence_id").orderBy(F.col("_class").desc(), "_rank")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return numbered.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("bigint")).drop("_rank", "_class")
+    return numbered.select(
+        F.col("_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
+        F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("bigint").alias("offset"),
+    )
 
 
 def pack_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
