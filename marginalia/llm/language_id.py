@@ -19,11 +19,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.llm.held import released
 
 DIMENSIONS = 4096
 CLUSTERS = 3
@@ -38,11 +38,9 @@ CUTS = (16, 64, 256, 1024, 4096, 16_384)
 MARGIN = 0.25
 """Share of the way from unrelated to own texts at which a text is rejected."""
 
-FEW = 50
-"""Training texts of a language below which their least cosines say too little; its floor
-is half of its texts' least cosine then, ``FEW_FLOOR`` at most."""
-
-FEW_FLOOR = 0.2
+STRENGTH = 50
+"""Training texts by which the mean floor of all languages counts beside a language's own:
+the fewer texts a language has, the nearer its floor is to that mean."""
 
 BINS = 13
 """Floors per language: one for each power of two of distinct n-gram slots."""
@@ -60,28 +58,32 @@ def _letters() -> np.ndarray:
 def counts(text: str) -> np.ndarray | None:
     """Hashed n-gram counts of the whole text; None if it has no letter.
 
-    Long texts are counted in parts; n-grams across two parts are not counted.
+    Long texts are counted part by part; the last two characters of a part go before the
+    next one, so no n-gram is lost between them.
     """
     total, found = np.zeros(DIMENSIONS, np.float64), False
+    before, follows = np.empty(0, np.uint32), True
     for start in range(0, len(text), _CHUNK):
         part = text[start : start + _CHUNK].lower()
         codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters()[codes]
-        if not letter.any():
-            continue
-        found = True
+        found |= bool(letter.any())
         kept = letter.copy()
-        kept[0] = True
+        kept[0] |= follows
         kept[1:] |= letter[:-1]  # a run of other characters is one space
-        c = np.concatenate([[32], np.where(letter, codes, 32)[kept], [32]]).astype(np.uint32)
+        follows = bool(letter[-1])
+        first, last = [32] if not start else [], [32] if start + _CHUNK >= len(text) else []
+        c = np.concatenate([before, first, np.where(letter, codes, 32)[kept], last]).astype(np.uint32)
+        old = len(before)
         gram = c * np.uint32(0x9E3779B1)
-        grams = [gram]
+        grams = [gram[old:]]
         for n in (1, 2):
             gram = (gram[:-1] ^ (c[n:] + np.uint32(n))) * np.uint32(0x85EBCA6B)
             gram = gram ^ (gram >> np.uint32(13))
-            grams.append(gram)
+            grams.append(gram[max(0, old - n) :])
         hashed = np.concatenate(grams) * np.uint32(0xC2B2AE35) >> np.uint32(32 - 12)
         total += np.bincount(hashed, minlength=DIMENSIONS)
+        before = c[-2:]
     return total if found else None
 
 
@@ -116,7 +118,8 @@ class Model:
         self.idf, self.centroids, self.languages, self.floors = idf, centroids, languages, floors
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, cosine, rejected)."""
+        """(language, cosine, rejected): ``und``, 0 and rejected for null texts, texts without
+        letters, and all texts if no language was learned."""
         v = vector(text, self.idf) if text and len(self.languages) else None
         if v is None:
             return UNKNOWN, 0.0, True
@@ -131,7 +134,8 @@ def measured(text: str, idf: np.ndarray, centroids: np.ndarray) -> Iterator[tupl
     """(shuffled, bin, cosines) of the beginnings of a text as they are and shuffled."""
     rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))
     for part in [text[:n] for n in CUTS if n < len(text)] + [text]:
-        mixed = "".join(rng.permutation(list(part[: CUTS[-1]])))
+        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
+        mixed = rng.permutation(codes).tobytes().decode("utf-32-le", "surrogatepass")
         for shuffled, piece in ((False, part), (True, mixed)):
             if (v := vector(piece, idf)) is not None:
                 yield shuffled, int(np.log2(np.count_nonzero(v))), centroids @ v
@@ -146,6 +150,13 @@ def floors(own: dict[int, float], unrelated: dict[int, float]) -> list[float]:
     return np.minimum(low, far + MARGIN * (low - far)).tolist()
 
 
+def shrunk(own: dict[str, list[float]], sizes: dict[str, int]) -> dict[str, np.ndarray]:
+    """The floors drawn towards their mean over all training texts, the more the fewer texts
+    a language has."""
+    mean = sum(sizes[x] * np.array(f) for x, f in own.items()) / max(1, sum(sizes[x] for x in own))
+    return {x: (sizes[x] * np.array(f) + STRENGTH * mean) / (sizes[x] + STRENGTH) for x, f in own.items()}
+
+
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample: int = SAMPLE) -> Model:
     """Learn from all rows given; those without language, id or letters teach nothing.
@@ -191,49 +202,36 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample)
     )
 
-    def centres(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors = [v for t in pdf["_text"] if (v := vector(t, idf)) is not None]
-        if not vectors:
-            return pd.DataFrame({"lang": [], "centroid": []})
-        vectors = np.array(vectors, np.float32)
-        found = cluster(vectors)
-        return pd.DataFrame({"lang": pdf["_lang"].iloc[0], "centroid": list(found.astype(float))})
+    def centres(rows: pa.Table) -> pa.Table:
+        vectors = [v.astype(np.float32) for t in rows["_text"] if (v := vector(t.as_py(), idf)) is not None]
+        found = cluster(np.array(vectors)).astype(float).tolist() if vectors else []
+        lang = pa.array([rows["_lang"][0].as_py()] * len(found), pa.string())
+        return pa.table({"lang": lang, "centroid": pa.array(found, pa.list_(pa.float64()))})
 
-    learned = chosen.groupBy("_lang").applyInPandas(centres, "lang string, centroid array<double>").collect()
+    chosen = chosen.withColumn("_lang", F.col("_lang").cast("string")).select("_lang", "_text")
+    learned = chosen.groupBy("_lang").applyInArrow(centres, "lang string, centroid array<double>").collect()
     learned = sorted(learned, key=lambda r: (r.lang, r.centroid))
     centroids, languages = np.array([r.centroid for r in learned]).reshape(-1, DIMENSIONS), [r.lang for r in learned]
 
-    def reached(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, met = pdf["_lang"].iloc[0], {}
-        for text in pdf["_text"]:
-            for shuffled, b, near in measured(text, idf, centroids):
+    def reached(rows: pa.Table) -> pa.Table:
+        own, met = rows["_lang"][0].as_py(), {}
+        for text in rows["_text"]:
+            for shuffled, b, near in measured(text.as_py(), idf, centroids):
                 best = {}
                 for lang, cosine in zip(languages, near.tolist()):
                     best[lang] = max(best.get(lang, 0.0), cosine)
                 for lang, cosine in best.items():
                     met.setdefault((lang, not shuffled and lang == own, shuffled, b), []).append(cosine)
-        return pd.DataFrame(
-            [(lang, mine, b, float(np.quantile(x, 0.01 if mine else 0.99))) for (lang, mine, _, b), x in met.items()],
-            columns=["lang", "own", "bin", "cosine"],
-        )
+        found = [(lang, mine, b, float(np.quantile(x, 0.01 if mine else 0.99))) for (lang, mine, _, b), x in met.items()]
+        kinds = {"lang": pa.string(), "own": pa.bool_(), "bin": pa.int32(), "cosine": pa.float64()}
+        return pa.table({name: pa.array([f[i] for f in found], kind) for i, (name, kind) in enumerate(kinds.items())})
 
     own, unrelated = {}, {}
-    for r in chosen.groupBy("_lang").applyInPandas(reached, "lang string, own boolean, bin int, cosine double").collect():
+    for r in chosen.groupBy("_lang").applyInArrow(reached, "lang string, own boolean, bin int, cosine double").collect():
         of = (own if r.own else unrelated).setdefault(r.lang, {})
         of[r.bin] = max(of.get(r.bin, 0.0), r.cosine)
-    few = {lang: [min(FEW_FLOOR, own[lang][max(own[lang])] / 2)] * BINS for lang in languages if sizes[lang] < FEW}
-    return Model(idf, centroids, languages, [few.get(lang) or floors(own[lang], unrelated.get(lang, {})) for lang in languages])
-
-
-def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
-    """A column struct<lang, score, rejected> of each text: ``und``, 0 and rejected for
-    null texts, texts without letters, and all texts if no language was learned."""
-
-    @F.pandas_udf("lang string, score double, rejected boolean")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score", "rejected"])
-
-    return predict(F.col(text_col))
+    final = shrunk({lang: floors(own[lang], unrelated.get(lang, {})) for lang in own}, {str(lang): n for lang, n in sizes.items()})
+    return Model(idf, centroids, languages, [final[lang] for lang in languages])
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> Column:
@@ -248,20 +246,33 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     learned from; repeated rows are predicted each; other columns are not read.
     """
     model = fit(docs.filter(training_rows(docs, id_col)), id_col, text_col, lang_col)
-    return docs.select(
-        F.col(id_col).alias("_id"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False)).alias("_held"),
-        predictions(docs, model, text_col).alias("_p"),
-    ).select(
-        F.col("_id").alias(id_col), F.col("_held").alias("held_out"), F.col("_p.lang").alias("lang_pred"),
-        F.col("_p.score").alias("score"), F.col("_p.rejected").alias("rejected"),
-    )
+    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
+    rows = docs.select(F.col(id_col).alias("_id"), held.alias("_held"), F.col(text_col).alias("_text"))
+
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.predict(t.as_py()) for t in batch.column(2)]
+            lang, score, rejected = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
+                ["_id", "held_out", "lang_pred", "score", "rejected"],
+            )
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    out = rows.mapInArrow(released(predicted), f"_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return out.withColumnRenamed("_id", id_col)
 
 
 def keep_identified(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is recognised, with their columns; the others go."""
-    ids = docs.filter(training_rows(docs))
-    model = fit(ids)
-    return docs.filter(~predictions(docs, model)["rejected"])
+    model = fit(docs.filter(training_rows(docs)))
+    at = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not model.predict(t.as_py())[2] for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(released(kept), docs.schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
