@@ -24,14 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.components import components
+from marginalia.llm.held import released
 from marginalia.llm.one_row import chosen_rows, row_key
 from marginalia.llm.streams import local_roots, over_groups
 from marginalia.llm.words import batched_words, mix, shingles
 from marginalia.operators.durable import stored
+from marginalia.operators.joins import lookup_join
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -53,16 +55,30 @@ TILE_SHINGLES = 1 << 20
 _CHUNK = 1 << 15
 
 
+def vote_miss(similarity: float = SIMILARITY, slack: float = SLACK, bins: int = BINS) -> float:
+    """The greatest chance that the sketches of a pair at the threshold do not vote.
+
+    Each bin agrees with probability ``similarity``; a pair whose sets fill fewer bins has
+    less variance, since a token that is not shared spoils one bin at most.
+    """
+    least = math.ceil((similarity - slack) * bins - 1e-9)
+    return sum(math.comb(bins, i) * similarity**i * (1 - similarity) ** (bins - i) for i in range(least))
+
+
 def runs_for(recall: float, similarity: float = SIMILARITY, depth: int = DEPTH) -> int:
     """Runs until a pair at the threshold is found with the given probability.
 
     The worst pair shares one pick per level on average (a set within a set); it meets at
-    a level with probability q = 1 - exp(-q of the level below).
+    a level with probability q = 1 - exp(-q of the level below).  Its sketches must vote as
+    well, and they are the same in all runs, so their misses come on top.
     """
     q = 1.0
     for _ in range(depth):
         q = 1 - math.exp(-q)
-    return math.ceil(math.log(1 - recall) / math.log(1 - q))
+    meet = recall / (1 - vote_miss(similarity))
+    if meet >= 1:
+        raise ValueError("sketches alone miss more than the recall allows")
+    return math.ceil(math.log(1 - meet) / math.log(1 - q))
 
 
 def picks(tokens: np.ndarray, seeds: np.ndarray, bound: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +127,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _signatures(docs: DataFrame, runs: int) -> DataFrame:
-    """_id, _text_key, set (null without words), n, sketch, and the keys of each level."""
+    """_id, _text_key, set (null without words), n, sketch, and the keys of each level.
+
+    Text keys are 128-bit digests: texts are joined by them."""
     kind = docs.schema["_id"].dataType.simpleString()
     names = ["_id", "_text_key", "set", "n", "sketch"] + [f"{x}{i}" for i in range(1, DEPTH + 1) for x in "pk"]
-    schema = f"_id {kind}, _text_key bigint, set binary, n bigint, sketch binary" + "".join(
+    schema = f"_id {kind}, _text_key string, set binary, n bigint, sketch binary" + "".join(
         f", p{i} array<bigint>, k{i} array<bigint>" for i in range(1, DEPTH + 1)
     )
     none = np.empty(0, np.uint64)
@@ -138,7 +156,7 @@ def _signatures(docs: DataFrame, runs: int) -> DataFrame:
                      pa.array(sketches, pa.binary()), *map(_lists, levels)], names,
                 )
 
-    return docs.select("_id", "_text_key", "_text").mapInArrow(signed, schema)
+    return docs.select("_id", "_text_key", "_text").mapInArrow(released(signed), schema)
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -255,7 +273,8 @@ def _verify(table: pa.Table, bounds: np.ndarray, similarity: float) -> Iterator[
         tokens = {r: np.frombuffer(raws[r], np.uint64) for r in rows.tolist()}
         a = [tokens[r] for r in first.tolist()]
         shared = intersections(a, a if first is second else [tokens[r] for r in second.tolist()])
-        linked = shared * (1 + similarity) >= similarity * (sizes[first][:, None] + sizes[second][None, :]) - 1e-6
+        # Whole numbers to double precision: pairs exactly at the threshold are linked.
+        linked = shared.astype(np.float64) * (1 + similarity) >= similarity * (sizes[first][:, None] + sizes[second][None, :]) - 1e-6
         if first is second:
             np.fill_diagonal(linked, False)
         left, right = np.nonzero(linked)
@@ -276,12 +295,17 @@ def _verify(table: pa.Table, bounds: np.ndarray, similarity: float) -> Iterator[
         )
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text; null counts as empty."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def classes_of_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row per input row: _id, _text_key, set and root (null without words), class_id, n_links, n."""
     runs = runs_for(recall, similarity)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_text_key", F.xxhash64("_text"))
+    rows = rows.withColumn("_text_key", text_key(F.col("_text")))
     signed = stored(_signatures(rows, runs), "path-signatures")
     levels = [f"{x}{i}" for i in range(1, DEPTH + 1) for x in "pk"]
     nodes = stored(
@@ -304,7 +328,9 @@ def classes_of_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         candidate.withColumnRenamed("node", "set").join(nodes.select("set", "copies", "n", "_text_key"), "set"), "path-suspects"
     )
     sizes = stored(suspects.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")), "path-roots")
-    texts = rows.groupBy("_text_key").agg(F.any_value("_text").alias("_text"))
+    # Only texts of suspects are shuffled, and of equal ones only one per task.
+    texts = lookup_join(rows.select("_text_key", "_text"), suspects.select("_text_key").distinct(), ["_text_key"], "left_semi")
+    texts = texts.groupBy("_text_key").agg(F.any_value("_text").alias("_text"))
     wanted = texts.join(suspects.select("_text_key", "set", "root", "copies"), "_text_key").join(sizes, "root")
 
     def with_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +340,7 @@ def classes_of_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(tokens, pa.binary())], [*batch.schema.names[1:], "tokens"])
 
     filled = wanted.select("_text", "set", "root", "copies", "members", "total").mapInArrow(
-        with_tokens, "set binary, root binary, copies bigint, members bigint, total bigint, tokens binary"
+        released(with_tokens), "set binary, root binary, copies bigint, members bigint, total bigint, tokens binary"
     )
     parts = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("total") / TILE_SHINGLES))
     parts = F.when((F.col("members") <= 2 * TILE) & (F.col("total") <= 2 * TILE_SHINGLES), F.lit(1)).otherwise(parts).cast("int")
@@ -364,15 +390,6 @@ def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar_sets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class, with its columns.
-
-    Documents without id stay.  Of rows with the same id all stay or go together."""
-    classes = similar_sets(docs).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    stays = F.col("doc_id").isNull()
-    return docs.filter(~stays).join(classes, "doc_id", "left_semi").unionByName(docs.filter(stays))
-
-
 def keep_one_row_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate class, with its columns: the one with the smallest id.
 
@@ -384,5 +401,5 @@ def keep_one_row_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("_id"), F.col("_text_key").alias("_text_key")))
     group = F.coalesce(F.concat(F.lit("#"), F.hex("root")), own).alias("_class")
     best = rows.groupBy(group).agg(least.alias("x")).select("x.*")
-    text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return chosen_rows(docs, row_key(F.col("doc_id"), text_key), best.select(own.alias("_row_key")))
+    key = row_key(F.col("doc_id"), text_key(F.col("text")))
+    return chosen_rows(docs, key, best.select(own.alias("_row_key")))

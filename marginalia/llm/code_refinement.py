@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from marginalia.llm.vectors import common_size, finite, matrix
@@ -299,6 +299,16 @@ def _averaged(state: DataFrame, books: np.ndarray) -> np.ndarray:
 
 # ---- the operator
 
+def _smallest(kept: DataFrame, entries: int, scale: int) -> list[Row]:
+    """The rows of the smallest ids.  Tasks give ids only, until the greatest of them is known."""
+    order = F.asc_nulls_last("_id")
+    ids = [r["_id"] for r in stored(kept.select("_id").orderBy(order).limit(entries), "codes-ids").collect()]
+    if ids and None not in ids:
+        kept = kept.filter(F.col("_id") <= F.lit(max(ids)))
+    start = kept.select("_id", F.transform("_vector", lambda c: F.floor(c.cast("double") * scale)).alias("x"))
+    return stored(start.orderBy(order, "x").limit(entries), "codes-start").orderBy(order, "x").collect()
+
+
 def refined_codes(
     rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
     parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE,
@@ -319,8 +329,7 @@ def refined_codes(
     ).filter(finite(F.col("_vector")))
     size = common_size(whole, F.col("_vector"), parts)
     kept = whole.filter(F.size("_vector") == size)
-    start = kept.select("_id", F.transform("_vector", lambda c: F.floor(c.cast("double") * scale)).alias("x"))
-    first = start.orderBy(F.asc_nulls_last("_id"), "x").limit(entries).collect()
+    first = _smallest(kept, entries, scale)
     id_type, label_type = (kept.schema[c].dataType.simpleString() for c in ("_id", "_label"))
     final = f"_id {id_type}, _label {label_type}, code string, error bigint"
     if not first:

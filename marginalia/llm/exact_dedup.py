@@ -63,12 +63,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     # A coarser key is enough to find hot texts: equal texts are equal in lower case too.
     key = F.xxhash64(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), key.alias("_key"))
+    # Rows of a hot text are dealt out by where they stand, so null and repeated ids spread too.
+    place = F.xxhash64(F.monotonically_increasing_id()).alias("_place")
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), key.alias("_key"), place)
     salted = (
         base.join(F.broadcast(_hot(base.select("_key"))), "_key", "left")
         .select(
             "_id", "_key", normalised(F.col("_text")).alias("_norm"),
-            F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"), F.lit(-1)).alias("_salt"),
+            F.coalesce(F.pmod("_place", F.col("_parts")).cast("int"), F.lit(-1)).alias("_salt"),
         )
     )
     salted = salted.withColumn("_start", F.substring("_norm", 1, PREFIX))
@@ -88,13 +90,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("_sha")
         .agg(
             F.max("_run_max").alias("_all_max"), F.sum("_run_n").alias("_all_n"),
-            F.min(F.when(F.col("_run_max").isNull(), F.col("_salt"))).alias("_null_salt"),
+            # Several runs can hold the greatest id, or none any: the head of one of them stays.
+            F.max_by("_salt", F.struct(F.col("_run_max").isNotNull().alias("has"), F.col("_run_max"), F.col("_salt"))).alias("_kept_salt"),
         )
     )
     whole = F.col("_all_n").isNull()
     keep = F.when(whole, F.col("_run_max")).otherwise(F.col("_all_max"))
-    first_run = F.when(keep.isNull(), F.col("_salt") == F.col("_null_salt")).otherwise(F.col("_run_max") == keep)
-    kept = F.col("_head") & F.when(whole, F.lit(True)).otherwise(F.coalesce(first_run, F.lit(False)))
+    kept = F.col("_head") & (whole | (F.col("_salt") == F.col("_kept_salt")))
     return narrow.join(F.broadcast(merged), "_sha", "left").select(
         F.col("_id").alias(id_col), keep.alias("keep_id"),
         F.coalesce("_all_n", "_run_n").cast("bigint").alias("group_size"),
@@ -102,16 +104,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the greatest id of each group of equal texts, with its columns.
-
-    Rows without id stay; of rows with the same id all stay or go together.
-    """
-    kept = exact_groups(docs).filter("kept").select("doc_id").distinct()
-    stays = F.col("doc_id").isNull()
-    return docs.filter(~stays).join(kept, "doc_id", "left_semi").unionByName(docs.filter(stays))
-
-
 def keep_one_row_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, with its columns: the one with the greatest id.
 

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from marginalia.llm.held import released
+
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups with the bounds of the groups in them.
@@ -39,7 +41,7 @@ def over_groups(function: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBat
         for table, bounds in whole_groups(batches, key):
             yield from function(table, bounds)
 
-    return run
+    return released(run)
 
 
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -47,12 +47,33 @@ def test_texts_without_any_id_keep_one(documents, monkeypatch):
     assert sum(r.kept for r in got) == 2 and sorted(r.group_size for r in got) == [1] + [7] * 7
 
 
+def test_a_hot_text_spreads_whatever_its_ids(spark, documents, monkeypatch):
+    """Null and repeated ids of one hot text go to many salts, and one row of it stays."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "RUN_ROWS", 10)
+    monkeypatch.setattr(exact_dedup, "HOT_LIST", 1000)
+    for ids in ([None] * 400, [7] * 400, [None, 7, 8, 8] * 100):
+        rows = [(i, "Hot" if k % 3 else "hot") for k, i in enumerate(ids)] + [(1000 + k, f"t{k}") for k in range(50)]
+        seen = []
+        keep = exact_dedup.stored
+        monkeypatch.setattr(exact_dedup, "stored", lambda df, name: seen.append(keep(df, name)) or seen[-1])
+        got = exact_dedup.exact_groups(documents(rows)).collect()
+        monkeypatch.setattr(exact_dedup, "stored", keep)
+        sizes = [r["n"] for r in seen[-1].filter("_salt >= 0").groupBy("_salt").agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) > 10 and max(sizes) < 60
+        hot = [r for r in got if r.group_size == 400]
+        assert len(hot) == 400 and sum(r.kept for r in hot) == 1 and len({r.keep_id for r in hot}) == 1
+        best = max((i for i in ids if i is not None), default=None)
+        assert hot[0].keep_id == best and [r.doc_id for r in hot if r.kept] == [best]
+
+
 def test_empty_and_stage(documents, spark):
     assert exact_dedup.exact_groups(documents([])).count() == 0
     docs = documents(ROWS)
-    kept = exact_dedup.keep_one_of_each(spark, docs, "")
+    kept = exact_dedup.keep_one_row_of_each(spark, docs, "")
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [3, 4, 5, 7, 8, 8, 10, 11, 12, 13]
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [3, 4, 5, 7, 8, 10, 11, 12, 13]
 
 
 def test_main_path_is_native(documents):

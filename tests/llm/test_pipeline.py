@@ -8,7 +8,7 @@ from marginalia.operators.durable import stored
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact", "near", "personal", "packed"]
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert {*registry.QUERIES, "pipeline"} <= set(entry.queries())
     assert set(registry.ORACLES) <= set(registry.QUERIES)
 
