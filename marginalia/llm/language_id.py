@@ -40,7 +40,11 @@ MARGIN = 0.25
 
 STRENGTH = 50
 """Training texts by which the mean floor of all languages counts beside a language's own:
-the fewer texts a language has, the nearer its floor is to that mean."""
+the fewer texts a language has, the nearer its floor is to that mean.  In the same way that
+mean is drawn to ``UNSURE`` by few texts of all languages."""
+
+UNSURE = 0.1
+"""Floor where there are no texts to tell one."""
 
 BINS = 13
 """Floors per language: one for each power of two of distinct n-gram slots."""
@@ -153,7 +157,8 @@ def floors(own: dict[int, float], unrelated: dict[int, float]) -> list[float]:
 def shrunk(own: dict[str, list[float]], sizes: dict[str, int]) -> dict[str, np.ndarray]:
     """The floors drawn towards their mean over all training texts, the more the fewer texts
     a language has."""
-    mean = sum(sizes[x] * np.array(f) for x, f in own.items()) / max(1, sum(sizes[x] for x in own))
+    total = sum(sizes[x] for x in own)
+    mean = (sum(sizes[x] * np.array(f) for x, f in own.items()) + STRENGTH * UNSURE) / (total + STRENGTH)
     return {x: (sizes[x] * np.array(f) + STRENGTH * mean) / (sizes[x] + STRENGTH) for x, f in own.items()}
 
 

@@ -100,3 +100,59 @@ def test_unknown_languages_and_long_gibberish_are_rejected(spark):
         known = [r.text for r in rows if r.lang != out and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
         got[out] = rate(model, [r.text for r in rows if r.lang == out]), rate(model, noise), rate(model, known)
     assert all(unknown >= 0.8 and gibberish >= 0.99 and clean <= 0.03 for unknown, gibberish, clean in got.values()), got
+
+
+def test_parts_of_long_texts_lose_no_ngram(monkeypatch):
+    text = "  Ab cdé 12 -- F ghi" * 40 + "ß!"
+    whole = language_id.counts(text)
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(language_id, "_CHUNK", size)
+        assert (language_id.counts(text) == whole).all()
+
+
+def plain_language(text, model):
+    """The prediction restated letter by letter."""
+    import math
+
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    stream = " "
+    for i, c in enumerate(text.lower()):
+        if c.isalpha():
+            stream += c
+        elif not i or text.lower()[i - 1].isalpha():
+            stream += " "
+    stream += " "
+    tf, mask = {}, (1 << 32) - 1
+    for n in (1, 2, 3):
+        for i in range(len(stream) - n + 1):
+            h = ord(stream[i]) * 0x9E3779B1 & mask
+            for k in range(1, n):
+                h = (h ^ (ord(stream[i + k]) + k)) * 0x85EBCA6B & mask
+                h ^= h >> 13
+            slot = (h * 0xC2B2AE35 & mask) >> 20
+            tf[slot] = tf.get(slot, 0) + 1
+    v = {s: (1 + math.log(n)) * model.idf[s] for s, n in tf.items()}
+    size = math.sqrt(sum(x * x for x in v.values()))
+    near = [sum(x * c[s] for s, x in v.items()) / size for c in model.centroids]
+    best = max(range(len(near)), key=lambda i: near[i])
+    at = min(max(math.log2(len(v)) - 0.5, 0), language_id.BINS - 1)
+    low = min(int(at), language_id.BINS - 2)
+    floor = model.floors[best][low] + (at - low) * (model.floors[best][low + 1] - model.floors[best][low])
+    return model.languages[best], min(1.0, max(0.0, near[best])), near[best] < floor
+
+
+def test_predictions_equal_a_plain_restatement(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.fit(docs.filter(language_id.training_rows(docs)))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in language_id.identify(docs).collect():
+        lang, score, rejected = plain_language(texts[r.doc_id], model)
+        assert (r.lang_pred, r.rejected) == (lang, rejected) and abs(r.score - score) < 1e-6
+
+
+def test_floors_follow_the_number_of_texts():
+    own = {"a": [0.6] * 3, "b": [0.2] * 3}
+    few = [language_id.shrunk(own, {"a": n, "b": 10_000})["a"][0] for n in (1, 10, 49, 50, 51, 1000, 100_000)]
+    assert few == sorted(few) and few[0] < 0.22 and few[-1] > 0.59 and few[4] - few[2] < 0.01
+    assert language_id.shrunk({"a": [0.6]}, {"a": 1})["a"][0] < 0.13
