@@ -252,8 +252,9 @@ def words_of_documents(rows: DataFrame, chosen: DataFrame) -> DataFrame:
                     docs = pa.array([batch.column(0)[i].as_py()] * len(some), pa.binary())
                     yield pa.RecordBatch.from_arrays([docs, pa.array(some.view(np.int64))], ["_doc", "t"])
 
-    some = rows.filter(F.col("_text").rlike("[0-9@]")).select("_doc", "_text")
-    return lookup_join(some, chosen, ["_doc"], "left_semi").mapInArrow(released(listed), "_doc binary, t bigint").distinct()
+    some = lookup_join(rows.filter(F.col("_text").rlike("[0-9@]")).select("_doc", "_text"), chosen, ["_doc"], "left_semi")
+    # Equal documents go before their words are listed: their texts are less than their words.
+    return some.groupBy("_doc").agg(F.any_value("_text").alias("_text")).mapInArrow(released(listed), "_doc binary, t bigint")
 
 
 def _alike(rows: DataFrame, key: list[str], *of: str) -> DataFrame:
@@ -289,10 +290,11 @@ def disclosing(docs: DataFrame, text_col: str, found: DataFrame, generalise: flo
 
     words = stored(words_of_documents(rows, where.select("_doc").distinct()), "disclosure-words")
     # A word in one of these documents only is met in one context; such words are not kept apart.
-    sets = stored(_alike(words, ["t"], "_doc").filter(F.col("n") > 1).select("t", F.col("alike").alias("set")), "disclosure-sets")
-    in_docs = stored(skew_join(words, sets, ["t"]).select("_doc", "set").distinct(), "disclosure-in")
+    sets = _alike(words, ["t"], "_doc").filter(F.col("n") > 1).select("t", F.col("alike").alias("set"))
+    sets = stored(sets, "disclosure-sets")
+    in_docs = stored(lookup_join(words, sets, ["t"], "inner").select("_doc", "set").distinct(), "disclosure-in")
     tried = words.groupBy("_doc").agg(F.count(F.lit(1)).alias("w")).join(where, "_doc").groupBy("kind").agg(F.sum("w").alias("w"))
-    met = skew_join(in_docs, where, ["_doc"]).groupBy("kind", "set").agg(F.count("_doc").alias("n_et"), F.count_distinct("c").alias("k"))
+    met = lookup_join(in_docs, where, ["_doc"], "inner").groupBy("kind", "set").agg(F.count("_doc").alias("n_et"), F.count_distinct("c").alias("k"))
     met = met.join(kinds.select(F.col("alike").alias("kind"), "n_e", "e", "g"), "kind").join(tried, "kind")
     met = met.filter((F.col("k") - CONTEXTS) * information > F.log(F.col("w")))
     # The greatest share a pair can have: the term in no other document.
