@@ -9,10 +9,13 @@ from marginalia import fixed
 from marginalia.functions import text as tx
 from marginalia.functions.decisions import parse_decision
 from marginalia.functions.signature import pair_id, with_signature
+from marginalia.operators import durable
 from marginalia.operators.joins import lookup_join, with_one_row
+from marginalia.operators.overlap import common, top_overlaps
 from marginalia.operators.parse import RECORD_FIELDS
 from marginalia.operators.review import KEY
 
+# Fixed: the column names and their order are those of the stored tables.
 REPORT_FIELDS = (
     "report_id", "report_name", "filename", "rules_version", "finding_count",
     "reviewable_count", "first_uploaded_at", "last_uploaded_at", "upload_count",
@@ -301,6 +304,50 @@ def similarity(findings: DataFrame, reports: DataFrame, current: DataFrame,
     return ranked if limit is None else ranked.limit(max(1, limit))
 
 
+def similar_reports(findings: DataFrame, reports: DataFrame, limit: int = 12, **steps: int) -> DataFrame:
+    """For every report the ``limit`` other reports that ``similarity`` ranks first for it.
+
+    Partners come from ``top_overlaps`` on fingerprints, and for reports with fewer than
+    ``limit`` of them on corrections; the corrections that two reports share are counted
+    for these partners only, so findings that most reports hold form no pairs of reports.
+    """
+    known = reports.select(F.col("report_id").alias("owner"))
+
+    def sets(key: str) -> DataFrame:
+        rows = findings.filter(F.col(key) != "").select(F.col("report_id").alias("owner"), F.col(key).alias("key"))
+        return durable.stored(lookup_join(rows.distinct(), known, ["owner"], "left_semi"), "report-keys")
+
+    prints, cores = sets("fingerprint"), sets("core_key")
+    exact = durable.stored(top_overlaps(prints, limit, **steps), "report-exact")
+    full = exact.groupBy("owner").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= limit).select("owner")
+    # A report whose partners by fingerprint are all known is filled up by corrections.
+    by_core = durable.stored(
+        top_overlaps(cores, limit, **steps).join(full, "owner", "left_anti").join(exact, ["owner", "other"], "left_anti"), "report-cores"
+    )
+    shared = common(exact.select("owner", "other"), cores).withColumnRenamed("n", "core")
+    pairs = exact.join(shared, ["owner", "other"], "left").withColumn("core", F.coalesce("core", F.lit(0))).unionByName(
+        by_core.select("owner", "other", F.lit(0).cast("bigint").alias("n"), F.col("n").alias("core"))
+    )
+    sizes = prints.groupBy("owner").agg(F.count(F.lit(1)).alias("_fingerprints"))
+    sizes = sizes.join(cores.groupBy("owner").agg(F.count(F.lit(1)).alias("_cores")), "owner", "full")
+    names = reports.select(
+        F.col("report_id").alias("other"), F.col("report_name").alias("report"), "filename",
+        F.col("finding_count").alias("findings"), F.col("last_uploaded_at").alias("last_uploaded"),
+    )
+    rows = lookup_join(lookup_join(pairs, names, ["other"], "inner"), sizes, ["owner"])
+    best = Window.partitionBy("owner").orderBy(F.desc("n"), F.desc("core"), "report", "other")
+
+    def share(part: str, whole: str) -> Column:
+        return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
+
+    return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).select(
+        F.col("owner").alias("current_report_id"), "rank", F.col("other").alias("report_id"), "report", "filename",
+        F.col("n").alias("exact_findings"), share("n", "_fingerprints").alias("exact_overlap"),
+        F.col("core").cast("bigint").alias("shared_correction_pairs"), share("core", "_cores").alias("correction_pair_overlap"),
+        "findings", "last_uploaded",
+    )
+
+
 def current_counts(findings: DataFrame) -> DataFrame:
     """Distinct fingerprints and corrections per report; '' does not count."""
     prints = F.when(F.col("fingerprint") != "", F.col("fingerprint"))

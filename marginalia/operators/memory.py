@@ -19,6 +19,7 @@ from marginalia.operators import durable
 from marginalia.operators.joins import lookup_join, skew_join, with_one_row
 from marginalia.operators.review import KEY, flagged
 
+# Fixed: the column names and their order are those of the stored table.
 OBSERVATION_FIELDS = (
     "observation_id", "fingerprint", "core_key", "anchor_kind", "anchor", "checker",
     "field_name", "original", "proposed", "status", "note", "source_report",

@@ -756,6 +756,28 @@ def report_similarity(spark, sf_dir):
     )
 
 
+@query("similar_reports", sql(("signatures", "stored_reports"), """
+, prints AS (SELECT DISTINCT report_id, fingerprint FROM signatures WHERE fingerprint <> ''),
+cores AS (SELECT DISTINCT report_id, core_key FROM signatures),
+e AS (SELECT a.report_id AS cur, b.report_id AS other, count(*) AS n FROM prints a JOIN prints b
+  ON a.fingerprint = b.fingerprint AND a.report_id <> b.report_id GROUP BY 1, 2),
+c AS (SELECT a.report_id AS cur, b.report_id AS other, count(*) AS n FROM cores a JOIN cores b
+  ON a.core_key = b.core_key AND a.report_id <> b.report_id GROUP BY 1, 2),
+ranked AS (
+  SELECT coalesce(e.cur, c.cur) AS current_report_id, r.report_id, r.report_name AS report, r.filename,
+    coalesce(e.n, 0) AS exact_findings, coalesce(c.n, 0) AS shared_correction_pairs,
+    r.finding_count AS findings, r.last_uploaded_at AS last_uploaded,
+    row_number() OVER (PARTITION BY coalesce(e.cur, c.cur)
+      ORDER BY coalesce(e.n, 0) DESC, coalesce(c.n, 0) DESC, r.report_name, r.report_id) AS rank
+  FROM e FULL JOIN c ON c.cur = e.cur AND c.other = e.other
+  JOIN stored_reports r ON r.report_id = coalesce(e.other, c.other))
+SELECT k.*, coalesce(exact_findings / nullif((SELECT count(*) FROM prints p WHERE p.report_id = k.current_report_id), 0), 0) AS exact_overlap,
+  shared_correction_pairs / (SELECT count(*) FROM cores p WHERE p.report_id = k.current_report_id) AS correction_pair_overlap
+FROM ranked k WHERE rank <= 5"""))
+def similar_reports(spark, sf_dir):
+    return library.similar_reports(bridge.stored(spark, sf_dir), bridge.stored_reports(spark, sf_dir), limit=5)
+
+
 @query("findings_with_names", sql(("signatures", "reports"), f"""
 SELECT s.report_id, issue_id, core_key, report_name FROM signatures s JOIN reports r ON r.report_id = s.report_id"""))
 def findings_with_names(spark, sf_dir):
