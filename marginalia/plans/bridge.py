@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators import classify as cl
@@ -122,8 +122,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rulebook(spark: SparkSession, sf_dir: str) -> rb.Rulebook:
+def rulebook(spark: SparkSession, sf_dir: str, items_of: Column | None = None) -> rb.Rulebook:
+    """The rulebook that benchmark items make, or those of them for which a condition holds."""
     items = table(spark, sf_dir, "benchmark")
+    if items_of is not None:
+        items = items.filter(items_of)
     return rb.Rulebook(
         spark.sql(TERMS_SQL, benchmark=items), spark.sql(TARGETS_SQL, benchmark=items),
         spark.sql(RULES_SQL, benchmark=items), "bridge",

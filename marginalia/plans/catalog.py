@@ -13,9 +13,9 @@ from marginalia.functions.comments import finalize_training_comments
 from marginalia.functions.decisions import parse_decision
 from marginalia.functions.signature import with_signature
 from marginalia.operators import classify as cl
-from marginalia.operators import durable, learning, library, memory, merging, parse, review
+from marginalia.operators import changes, durable, learning, library, memory, merging, parse, review
 from marginalia.operators import rulebook as rb
-from marginalia.plans import bridge
+from marginalia.plans import bridge, flows
 from marginalia.plans.bridge import table
 from marginalia.plans.oracle import A, END, N, R, START, matches, quote, sql
 from marginalia import fixed
@@ -146,6 +146,23 @@ def reclassify_library(spark, sf_dir):
     return again.select("report_id", "issue_id", "status", "comment", "finding_order")
 
 
+# The same library after every seventh benchmark item has left the rulebook.
+@query("reclassified_changes", sql("classified", f"SELECT {ID}, status, comment, finding_order FROM classified").replace(
+    "FROM benchmark", "FROM (SELECT * FROM benchmark WHERE item_id % 7 <> 0)"))
+def reclassified_changes(spark, sf_dir):
+    old = bridge.rulebook(spark, sf_dir)
+    new = bridge.rulebook(spark, sf_dir, F.col("item_id") % 7 != 0)
+    raw = bridge.raw_findings(spark, sf_dir)
+    index = bridge.kept(spark, sf_dir, "keys", lambda: changes.finding_keys(raw, changes.kinds_of(old)))
+    flags = bridge.kept(spark, sf_dir, "flags", lambda: cl.confidence_flags(raw))
+    # the bridge knows containers by report, its records all carry the field
+    known = F.length("report_id") == 4
+    findings = bridge.stored(spark, sf_dir)
+    before = bridge.classified(spark, sf_dir)
+    after, _ = flows.reclassify_changed(before, findings, flags, index, old, new, known)
+    return after.select("report_id", "issue_id", "status", "comment", "finding_order")
+
+
 @query("one_edit_pairs", sql("lines", """
 SELECT doc_id, pos, a, b, damerau_levenshtein(lower(a), lower(b)) = 1 AS one_edit
 FROM (SELECT doc_id, pos, split_part(line, ' ', 1) AS a, split_part(line, ' ', 2) AS b FROM lines)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.operators import changes as changes_of
 from marginalia.operators import classify as cl
 from marginalia.operators import durable, learning, library, memory, merging, parse, review
 from marginalia.operators import rulebook as rb
@@ -136,6 +137,28 @@ def publish(store: Store, findings: DataFrame, reviews: DataFrame, book: rb.Rule
             "removed": removed, "book": new_book, "newly": newly}
 
 
+def reclassify_changed(before: DataFrame, findings: DataFrame, flags: DataFrame, index: DataFrame,
+                       old: rb.Rulebook, new: rb.Rulebook,
+                       container_known: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The library's classified rows under a new rulebook, and the rows that were classified.
+
+    ``before`` are the classified rows under the old one (with ``finding_order``), ``flags``
+    the stored confidence flags of the reports, ``index`` the stored keys of the findings
+    for all lookups that the two rulebooks make.  Only findings that meet what the rulebooks
+    differ in are read from their records and classified; all others are taken as they are.
+    ``container_known`` overrides what the records say about containers.
+    """
+    changes = durable.stored(changes_of.changed_keys(old, new), "changed-keys")
+    met = durable.stored(changes_of.touched(index, changes), "touched")
+    raw = library.raw_records(findings.join(met, ["report_id", "issue_id"], "left_semi"))
+    if container_known is not None:
+        raw = raw.withColumn("container_known", container_known)
+    rows = cl.with_verdict(raw, new, flags)
+    again = durable.stored(cl.classified_columns(rows, "finding_order"), "reclassified")
+    kept = before.join(met, ["report_id", "issue_id"], "left_anti")
+    return kept.unionByName(again.select(*before.columns)), again
+
+
 def reclassify_library(findings: DataFrame, book: rb.Rulebook) -> DataFrame:
     """Stored findings under a new rulebook."""
     return cl.classify(library.raw_records(findings), book, "finding_order")
