@@ -7,11 +7,18 @@ report now.
 
 A writer claims the number after the generation it has read by creating a marker file,
 which only one can do; another writer's generation is never overwritten or left out of
-sight, the slower one fails and reads again.
+sight, the slower one fails and reads again.  A claim whose writer has died without a
+finished generation expires: the next writer marks it void and takes the number after it,
+and the first one, should it only have been slow, finds its claim void and fails.
+
+Creating a file that must not exist is atomic on HDFS and on local file systems; on object
+stores it is only where their Hadoop client makes it so (conditional writes).
 """
 
 from __future__ import annotations
 
+import time
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +32,9 @@ EXTRA = {
     "learned_terms": ("term",), "active_rules": ("suggestion_id",),
     "finding_generations": ("report_id", "generation"),
 }
+EXPIRES = 6 * 3600
+"""Seconds after which a claim without a finished generation belongs to a dead writer."""
+
 FINDINGS, HOLDERS = "report_findings", "finding_generations"
 
 
@@ -33,8 +43,8 @@ class StoreConflict(RuntimeError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
+    def __init__(self, spark: SparkSession, base: str, expires: float = EXPIRES):
+        self.spark, self.base, self.expires = spark, base.rstrip("/"), expires
         self._seen: dict[str, int] = {}
 
     # -- layout
@@ -69,24 +79,56 @@ class Store:
         Raises ``StoreConflict`` if that number is taken.  A write that fails gives its
         number back.
         """
-        number = self._seen.get(name, self._latest(name)) + 1
-        claim, path = f"{self.base}/{name}/claim-{number:08d}", f"{self.base}/{name}/gen-{number:08d}"
-        files, marker = self._files(claim)
-        try:
-            files.create(marker, False).close()
-        except Py4JJavaError as error:
-            if "AlreadyExists" in str(error.java_exception.getClass().getName()):
-                raise StoreConflict(f"{name}: generation {number} belongs to another writer") from error
-            raise
+        number = self._claimed(name, self._seen.get(name, self._latest(name)) + 1)
+        path = f"{self.base}/{name}/gen-{number:08d}"
+        files, generation = self._files(path)
         try:
             rows.select(*self._schema(name).names).write.mode("errorifexists").parquet(path)
         except Exception:
-            files.delete(self._files(path)[1], True)
-            files.delete(marker, False)
+            files.delete(generation, True)
+            if not self._void(name, number):
+                files.delete(self._marker(name, number)[1], False)
             raise
+        if self._void(name, number):
+            files.delete(generation, True)
+            raise StoreConflict(f"{name}: the claim on generation {number} has expired")
         self._seen[name] = number
         return number
 
+    def _marker(self, name: str, number: int, kind: str = "claim"):
+        return self._files(f"{self.base}/{name}/{kind}-{number:08d}")
+
+    def _void(self, name: str, number: int) -> bool:
+        files, marker = self._marker(name, number, "void")
+        return files.exists(marker)
+
+    def _create(self, name: str, number: int, kind: str = "claim") -> bool:
+        """Whether this call has made the marker; it says who did."""
+        files, marker = self._marker(name, number, kind)
+        try:
+            out = files.create(marker, False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" in str(error.java_exception.getClass().getName()):
+                return False
+            raise
+        out.write(bytearray(self.spark.sparkContext.applicationId.encode()))
+        out.close()
+        return True
+
+    def _claimed(self, name: str, number: int) -> int:
+        """The number given, or the first after it if dead writers hold it and those between."""
+        while not self._create(name, number):
+            if number in self._generations(name):
+                raise StoreConflict(f"{name}: generation {number} belongs to another writer")
+            if not self._void(name, number):
+                files, marker = self._marker(name, number)
+                age = time.time() - files.getFileStatus(marker).getModificationTime() / 1000
+                if age < self.expires:
+                    raise StoreConflict(f"{name}: generation {number} is being written, its claim is {age:.0f} s old")
+                self._create(name, number, "void")
+            number += 1
+        return number
+
     # -- keyed tables
     def read(self, name: str) -> DataFrame:
         if name == FINDINGS:

@@ -2,6 +2,7 @@
 
 import csv
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,6 +259,29 @@ def test_two_writers_cannot_both_win(spark, tmp_path):
     assert two.write("learned_terms", terms("d")).count() == 1  # the failed write left nothing
 
 
+def test_dead_writers_do_not_block_a_table(spark, tmp_path):
+    base = str(tmp_path / "s")
+    terms = lambda *t: spark.createDataFrame([(x,) for x in t], "term string")
+    Store(spark, base).write("learned_terms", terms("a"))
+    for number in (1, 2):  # two writers have died, the second after the first claim had expired
+        claim = tmp_path / "s" / "learned_terms" / f"claim-{number:08d}"
+        claim.write_text("application-gone")
+        old = claim.stat().st_mtime - 7200
+        os.utime(claim, (old, old))
+    with pytest.raises(StoreConflict, match="being written"):
+        Store(spark, base).write("learned_terms", terms("b"))
+    store = Store(spark, base, expires=3600)
+    assert {r[0] for r in store.write("learned_terms", terms("b")).collect()} == {"b"}
+    assert store._latest("learned_terms") == 3
+    # The first writer was only slow: its claim is void, and nothing of it stays.
+    slow = Store(spark, base)
+    slow._seen["learned_terms"], slow._claimed = 0, lambda name, number: 1
+    with pytest.raises(StoreConflict, match="expired"):
+        slow._append("learned_terms", terms("late"))
+    assert {r[0] for r in Store(spark, base).write("learned_terms", terms("c")).collect()} == {"c"}
+    assert sorted(Store(spark, base)._generations("learned_terms")) == [0, 3, 4]
+
+
 TICKET = {
     "id": 7, "key": "K-42", "fields": {
         "summary": "Work", "status": {"name": "Open"}, "assignee": None, "updated": "2024",
