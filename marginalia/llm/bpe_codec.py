@@ -41,10 +41,7 @@ LONG_WORD = 64
 class _Entries(Remembered):
     """Words with (ids as text, their number, decoded)."""
 
-    ENTRY = 330
-
-    def size_of(self, value: tuple[str, int, bytes]) -> int:
-        return len(value[0]) + len(value[2])
+    ENTRY = 370
 
 
 class Codec:
@@ -120,7 +117,7 @@ class Codec:
         for w, ids in zip(new, self.encode_words(new)):
             met[w] = entry = self._entry(ids)
             if len(w) <= LONG_WORD:
-                self.words.keep(w, entry)
+                self.words.keep(w, entry, len(entry[0]))
         return met
 
     def _runs(self, text: str) -> Iterator[tuple[str, int, bytes]]:

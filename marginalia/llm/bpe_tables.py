@@ -132,21 +132,18 @@ class Remembered(dict):
     def __init__(self, limit: int):
         self.limit, self.used, self.old = limit // 2, 0, {}
 
-    def size_of(self, value) -> int:
-        """Bytes of a value; small integers need none of their own."""
-        return len(value) if isinstance(value, bytes) else 0
-
-    def keep(self, word: str, value) -> None:
+    def keep(self, word: str, value, size: int = 0) -> None:
+        """Remember a value that takes ``size`` bytes of its own."""
         if self.used >= self.limit:
             self.old = dict(self)
             self.clear()
             self.used = 0
-        self.used += self.ENTRY + len(word) + self.size_of(value)
+        self.used += self.ENTRY + len(word) + size
         self[word] = value
 
     def recall(self, word: str):
         """What the old generation holds of a word, moved to the young one."""
         found = self.old.get(word)
         if found is not None:
-            self.keep(word, found)
+            self.keep(word, found, len(found) if isinstance(found, bytes) else 0)
         return found

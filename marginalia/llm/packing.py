@@ -37,8 +37,12 @@ CLASS_WIDTH = 8
 """Lengths are rounded up to multiples of this when patterns are made."""
 
 END_ID = 2
-REMEMBERED = 72 << 20
-"""Bytes of encoded words that a worker keeps, and a third as much of their stems."""
+REMEMBERED = 64 << 20
+"""Bytes of encoded words that a worker keeps, and a quarter of that for words of texts
+beyond Latin-1."""
+
+POINTS = 1 << 20
+"""Bytes of encoded runs of symbols that it keeps."""
 
 RUN = 1 << 18
 """Characters of a text that are cut into words together."""
@@ -49,15 +53,39 @@ LONG_WORD = 64
 
 # ---- tokens
 
-_STEM = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+# Letters of Latin-1 and symbols behind them.  An apostrophe can belong to what follows it.
+_STEM = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+# Texts of Latin-1 without rare blanks and controls are lower-cased and cut here, as the
+# vocabulary's own rules do: its contractions, runs of letters, single digits, other runs.
+_ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0]|[^\x00-\xff]")
+_CUT = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    r"|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
+)
 _STAND_INS = {b: c for c, b in byte_of_char().items()}
 
 
+class _Cut(Remembered):
+    """Ids of what the vocabulary's own rules cut: words of the tokenizer's model."""
+
+    def __init__(self, encode):
+        super().__init__(REMEMBERED)
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.recall(word)
+        if found is None:
+            found = self.encode(word)
+            if len(word) <= LONG_WORD:
+                self.keep(word, found, len(found))
+        return found
+
+
 class _Words(Remembered):
     """Ids of blank-separated words as little-endian bytes, encoded by the tokenizer."""
 
     def __init__(self, path: str):
-        super().__init__(REMEMBERED)
+        super().__init__(REMEMBERED // 4)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer  # loaded by workers only
 
@@ -65,22 +93,27 @@ class _Words(Remembered):
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
-        self.parts = Remembered(REMEMBERED // 3)
+        self.points = Remembered(POINTS)
+        self.cut = _Cut(self._part)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encoded(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        """Ids of a run of lower-case letters or of points: a word of the tokenizer's model."""
-        found = self.parts.get(part) or self.parts.recall(part)
+        """Ids of a run of lower-case letters or of symbols: a word of the tokenizer's model."""
+        units = part if part.isascii() else part.encode().decode("latin-1").translate(_STAND_INS)
+        return array("I", [t.id for t in self.model.tokenize(units)]).tobytes()
+
+    def _points(self, run: str) -> bytes:
+        found = self.points.get(run) or self.points.recall(run)
         if found is None:
-            units = part if part.isascii() else part.encode().decode("latin-1").translate(_STAND_INS)
-            found = array("I", [t.id for t in self.model.tokenize(units)]).tobytes()
-            self.parts.keep(part, found)
+            found = self._part(run)
+            self.points.keep(run, found, len(found))
         return found
 
     def __missing__(self, word: str) -> bytes:
-        """Latin letters, with points behind them or without, are lower-cased and go to the
+        """Latin letters, with symbols behind them or without, are lower-cased and go to the
         model directly; all other words take the tokenizer's whole way."""
         if len(word) > LONG_WORD:
             return self._encoded(word)
@@ -89,9 +122,11 @@ class _Words(Remembered):
             plain = _STEM.fullmatch(word)
             if plain is None:
                 found = self._encoded(word)
+            elif (stem := plain[1].lower()) == word:
+                found = self._part(word)
             else:
-                found = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
-            self.keep(word, found)
+                found = self[stem] + (self._points(plain[2]) if plain[2] else b"")
+            self.keep(word, found, len(found))
         return found
 
     def runs(self, text: str) -> Iterator[bytes]:
@@ -111,6 +146,8 @@ class _Words(Remembered):
         yield self._ids(text[start:])
 
     def _ids(self, text: str) -> bytes:
+        if not _ODD.search(text) and not any(s in text for s in self.special):
+            return b"".join(map(self.cut.__getitem__, _CUT.findall(text.lower())))
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
