@@ -20,6 +20,23 @@ EVIDENCE_FIELDS = (
 )
 
 
+SHOWN = ("checker", "field_name", "original", "proposed")
+
+
+def places(findings: DataFrame, reports: DataFrame) -> DataFrame:
+    """Where corrections occur: one row per (correction, report) with the number of findings
+    and the first of them.  Findings of reports that are not listed do not count."""
+    per_report = findings.groupBy("core_key", "report_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*SHOWN), "finding_order").alias("first")
+    )
+    named = lookup_join(per_report, reports.select("report_id", "report_name"), ["report_id"], "inner")
+    return named.select("core_key", "report_id", "report_name", "n", "first")
+
+
+def agreed_corrections(observations: DataFrame) -> DataFrame:
+    return decided(tally(observations, ["core_key"]), "core_key")
+
+
 def evidence(observations: DataFrame, findings: DataFrame, reports: DataFrame) -> DataFrame:
     """One row per correction that people agree on, with its reach in the library.
 
@@ -27,34 +44,29 @@ def evidence(observations: DataFrame, findings: DataFrame, reports: DataFrame) -
     and coverage.  Findings are restricted to reviewed corrections and reduced to one
     row per (correction, report) before anything is joined.
     """
-    agreed = decided(tally(observations, ["core_key"]), "core_key")
+    # one row per correction on the right, so this keeps findings as they are
+    seen = skew_join(findings, agreed_corrections(observations).select("core_key"), ["core_key"])
+    return evidence_at(observations, places(seen, reports))
+
+
+def evidence_at(observations: DataFrame, named: DataFrame) -> DataFrame:
+    """Evidence from ``places`` that hold all agreed corrections, and perhaps others."""
+    agreed = agreed_corrections(observations)
     human = observations.groupBy("core_key").agg(
         F.count_distinct("source_report_id").alias("human_reports"),
-        F.min_by(
-            F.struct("checker", "field_name", "original", "proposed"),
-            F.struct("updated_at", "observation_id"),
-        ).alias("_human"),
+        F.min_by(F.struct(*SHOWN), F.struct("updated_at", "observation_id")).alias("_human"),
     )
-    # one row per correction on the right, so this keeps findings as they are
-    seen = skew_join(findings, agreed.select("core_key"), ["core_key"])
-    per_report = seen.groupBy("core_key", "report_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min_by(
-            F.struct("checker", "field_name", "original", "proposed"), "finding_order"
-        ).alias("_first"),
-    )
-    named = lookup_join(per_report, reports.select("report_id", "report_name"), ["report_id"], "inner")
     reach = named.groupBy("core_key").agg(
-        F.sum("n").alias("occurrences"), F.min_by("_first", "report_id").alias("_seen")
+        F.sum("n").alias("occurrences"), F.min_by("first", "report_id").alias("_seen")
     )
     names = joined_names(named, ["core_key"], "report_name", "seen_in_reports")
-    places = (
+    covered = (
         named.select("core_key", "report_id")
         .unionAll(observations.select("core_key", F.col("source_report_id").alias("report_id")))
         .distinct().groupBy("core_key").agg(F.count(F.lit(1)).alias("course_coverage"))
     )
     rows = (
-        agreed.join(human, "core_key").join(places, "core_key")
+        agreed.join(human, "core_key").join(covered, "core_key")
         .join(reach, "core_key", "left").join(names, "core_key", "left")
     )
     shown = F.coalesce("_seen", "_human")

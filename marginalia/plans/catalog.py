@@ -13,7 +13,7 @@ from marginalia.functions.comments import finalize_training_comments
 from marginalia.functions.decisions import parse_decision
 from marginalia.functions.signature import with_signature
 from marginalia.operators import classify as cl
-from marginalia.operators import changes, durable, learning, library, memory, merging, parse, review
+from marginalia.operators import changes, deltas, durable, learning, library, memory, merging, parse, review
 from marginalia.operators import rulebook as rb
 from marginalia.plans import bridge, flows
 from marginalia.plans.bridge import table
@@ -837,6 +837,30 @@ def evidence(spark, sf_dir):
 query("pattern_evidence", EVIDENCE_SQL + "SELECT * FROM evidence")(evidence)
 
 
+# The library before: the last report held what is now in the first one, which had not come
+# yet and was not reviewed.  Then both are uploaded as they are.
+@query("evidence_after_uploads", EVIDENCE_SQL + "SELECT * FROM evidence")
+def evidence_after_uploads(spark, sf_dir):
+    findings, names = bridge.stored(spark, sf_dir), bridge.reports(spark, sf_dir)
+    observations = bridge.observations(spark, sf_dir)
+    ends = names.agg(F.min("report_id").alias("first"), F.max("report_id").alias("last")).first()
+    late, again = F.col("report_id") == ends["first"], F.col("report_id") == ends["last"]
+    earlier = findings.filter(~late & ~again).unionByName(
+        findings.filter(late).withColumn("report_id", F.lit(ends["last"]))
+    )
+    new = F.col("source_report_id") == ends["first"]
+    summary = bridge.kept(spark, sf_dir, "places", lambda: learning.places(earlier, names))
+    before = bridge.kept(
+        spark, sf_dir, "evidence-before", lambda: learning.evidence_at(observations.filter(~new), summary)
+    )
+    uploaded = names.filter(late | again)
+    after, signed = deltas.replace_reports(
+        summary, learning.places(findings.filter(late | again), names), uploaded
+    )
+    touched = durable.stored(deltas.touched_corrections(signed, observations.filter(new)), "touched")
+    return deltas.carried_evidence(before, touched, observations, after)
+
+
 def kept_evidence(spark, sf_dir):
     return bridge.kept(spark, sf_dir, "evidence", lambda: evidence(spark, sf_dir))
 
