@@ -1,9 +1,9 @@
 """Parquet tables of a review library.
 
 Every write is a new generation, so a reader never sees a half-written table.  Small
-keyed tables are written whole.  Stored findings are appended: each upload is a generation
-with the findings of its reports only, and a small table says which generation holds a
-report now.
+keyed tables are written whole.  Stored findings and places are appended: each upload is a
+generation with the rows of its reports only, and a small table of holders says which
+generation holds a report now.  Rows of given reports are read from their generations alone.
 
 A writer claims the number after the generation it has read by creating a marker file,
 which only one can do; another writer's generation is never overwritten or left out of
@@ -28,9 +28,19 @@ from marginalia.operators import durable, merging
 from marginalia.operators.joins import lookup_join
 from marginalia.sources.portable import LONGS
 
+TEXTS = "checker string, field_name string, original string, proposed string"
 EXTRA = {
-    "learned_terms": ("term",), "active_rules": ("suggestion_id",),
-    "finding_generations": ("report_id", "generation"),
+    "learned_terms": "term string",
+    "active_rules": "suggestion_id string",
+    "finding_generations": "report_id string, generation long",
+    "places": f"core_key string, report_id string, report_name string, n long, first struct<{TEXTS}>",
+    "place_generations": "report_id string, generation long, report_name string, findings long",
+    "evidence": (
+        "core_key string, checker string, field string, original string, proposed string, status string, "
+        "comment string, human_decisions long, human_reports long, occurrences long, course_coverage long, "
+        "reviewed_sources string, seen_in_reports string"
+    ),
+    "learned_from": "place_generations long, evidence long, observations long",
 }
 EXPIRES = 6 * 3600
 """Seconds after which a claim without a finished generation belongs to a dead writer."""
@@ -49,11 +59,18 @@ class Store:
 
     # -- layout
     def _schema(self, name: str) -> T.StructType:
-        fields = merging.COLLECTIONS[name][0] if name in merging.COLLECTIONS else EXTRA[name]
+        if name in EXTRA:
+            return T.StructType.fromDDL(EXTRA[name])
         return T.StructType([
-            T.StructField(f, T.LongType() if f in LONGS or f == "generation" else T.StringType()) for f in fields
+            T.StructField(f, T.LongType() if f in LONGS else T.StringType())
+            for f in merging.COLLECTIONS[name][0]
         ])
 
+    def _empty(self, name: str) -> DataFrame:
+        """No rows, known as such to the optimizer."""
+        columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in self._schema(name).fields]
+        return self.spark.range(1).select(*columns).limit(0)
+
     def _files(self, path: str):
         """The file system and Hadoop path of a path."""
         context = self.spark.sparkContext
@@ -132,44 +149,70 @@ class Store:
     # -- keyed tables
     def read(self, name: str) -> DataFrame:
         if name == FINDINGS:
-            return self._findings()
-        schema, generations = self._schema(name), self._generations(name)
-        self._seen[name] = max(generations, default=-1)
-        if not generations:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(generations[self._seen[name]])
+            return self.held(name, self.read(HOLDERS))
+        self._seen[name] = self._latest(name)
+        return self.read_at(name, self._seen[name])
+
+    def generation(self, name: str) -> int:
+        """The generation that the last read or write has seen, -1 without any."""
+        return self._seen[name]
+
+    def read_at(self, name: str, number: int) -> DataFrame:
+        """A whole table as this generation holds it; number -1 is before the first."""
+        if number < 0:
+            return self._empty(name)
+        return self.spark.read.schema(self._schema(name)).parquet(f"{self.base}/{name}/gen-{number:08d}")
+
+    def holds(self, name: str, number: int) -> bool:
+        """Whether a generation is still there."""
+        return number < 0 or number in self._generations(name)
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
         """Write a whole table as its next generation and read it back."""
         self._append(name, rows)
         return self.read(name)
 
-    # -- findings by generation
-    def _findings(self) -> DataFrame:
-        """The findings of each report from the generation that holds it."""
-        schema, generations = self._schema(FINDINGS), self._generations(FINDINGS)
-        holders = self.read(HOLDERS)
+    # -- rows by report and generation
+    def held(self, name: str, holders: DataFrame) -> DataFrame:
+        """The rows of the reports that ``holders`` lists, each from the generation named there.
+
+        Only these generations are read.
+        """
+        schema, generations = self._schema(name), self._generations(name)
+        holders = holders.select("report_id", "generation")
         used = [r["generation"] for r in holders.select("generation").distinct().collect()]  # at most the uploads
         if not used:
-            return self.spark.createDataFrame([], schema)
+            return self._empty(name)
         rows = self.spark.read.schema(schema).parquet(*[generations[g] for g in used])
         number = F.regexp_extract(F.col("_metadata.file_path"), r"/gen-(\d+)/", 1).cast("bigint")
-        held = lookup_join(rows.withColumn("generation", number), holders, ["report_id", "generation"], "inner")
-        return held.select(*schema.names)
+        rows = rows.withColumn("generation", number)
+        return lookup_join(rows, holders, ["report_id", "generation"], "inner").select(*schema.names)
+
+    def findings_of(self, reports: DataFrame) -> DataFrame:
+        """The findings of some reports; generations that hold none of them are not read."""
+        ids = reports.select("report_id").distinct()
+        return self.held(FINDINGS, self.read(HOLDERS).join(ids, "report_id", "left_semi"))
+
+    def append(self, name: str, rows: DataFrame) -> int:
+        """Write rows as the generation after the latest, whatever was read; its number.
+
+        For tables in which another one tells the generations that count.
+        """
+        self._seen.pop(name, None)
+        return self._append(name, rows)
 
     def store_findings(self, incoming: DataFrame) -> DataFrame:
-        """Replace all findings of the reports in ``incoming``; nothing else is written.
+        """Replace all findings of the reports in ``incoming``, which come back as stored.
 
-        The new findings are a generation of their own.  They become visible when the
-        table of holders names it, in one step for all reports.
+        Nothing else is written.  All reports change in one step, that of the holders.
         """
         holders = self.read(HOLDERS)
         fresh = durable.stored(incoming.select(*self._schema(FINDINGS).names), "incoming")
-        self._seen.pop(FINDINGS, None)
-        number = self._append(FINDINGS, fresh)
+        number = self.append(FINDINGS, fresh)
         here = fresh.select("report_id").distinct().withColumn("generation", F.lit(number).cast("bigint"))
+        here = durable.stored(here, "holders")
         self._append(HOLDERS, merging.upsert(holders, here, ["report_id"]))
-        return self.read(FINDINGS)
+        return self.held(FINDINGS, here)
 
     def compact(self) -> DataFrame:
         """Write the current findings as one generation; earlier ones are read no more."""
