@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from marginalia import fixed
 from marginalia.functions import text as tx
 from marginalia.functions.rich_text import flatten_rich_text
-from marginalia.operators.joins import first_per_key
+from marginalia.operators import durable
+from marginalia.operators.joins import first_per_key, skew_join
 
 TICKET_SCHEMA = (
     "id string, key string, fields struct<summary: string, status: struct<name: string>, "
@@ -128,12 +129,18 @@ def candidates_by_tier(queries: DataFrame, users: DataFrame) -> DataFrame:
     return hits.join(best, "label").filter(F.col("tier") == F.col("_best")).drop("_best")
 
 
-def resolve_identities(people: DataFrame, hits: DataFrame, users: DataFrame) -> DataFrame:
+def resolve_identities(people: DataFrame, hits: DataFrame, users: DataFrame,
+                       searches: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
     """Account of each signed-in person, or why there is none.
 
     ``people`` has ``email, name``; ``hits`` the directory hits ``email, account_id,
     query`` ('email' or 'name').  An exact address wins (address search before name
     search), then a sole candidate, then a sole exact name.
+
+    Name searches can be given apart from who made them: ``searches`` has ``email,
+    search`` and ``answers`` the hits ``search, account_id``.  Accounts that the same
+    searches find under the same names are then one row, whose size and least account
+    are all that counts, so a name that many people share forms no pairs of them.
     """
     active = users.filter("active").select(
         "account_id", "display_name", F.col("email").alias("user_email")
@@ -142,15 +149,18 @@ def resolve_identities(people: DataFrame, hits: DataFrame, users: DataFrame) ->
     by_email = tx.fold(tx.strip(tx.present(F.col("user_email")))) == tx.fold(tx.strip(F.col("email")))
     name = tx.fold(tx.strip(tx.present(F.col("name"))))
     by_name = (name != "") & (tx.fold(tx.strip(tx.present(F.col("display_name")))) == name)
-    distinct = found.groupBy("email", "account_id").agg(
+    candidates = found.groupBy("email", "account_id").agg(
         F.bool_or(by_email).alias("by_email"), F.bool_or(by_name).alias("by_name"),
         F.min(F.when(F.col("query") == "email", 1).otherwise(2)).alias("stage"),
-    )
-    summary = distinct.groupBy("email").agg(
-        F.min_by("account_id", F.when(F.col("by_email"), F.struct("stage", "account_id"))).alias("_mail"),
+    ).withColumn("size", F.lit(1))
+    if searches is not None:
+        candidates = _with_answers(candidates, people, active, searches, answers)
+    mail = F.struct("stage", "account_id")
+    summary = candidates.groupBy("email").agg(
+        F.min_by("account_id", F.when(F.col("by_email"), mail)).alias("_mail"),
         F.count_if("by_email").alias("mails"),
-        F.count(F.lit(1)).alias("candidates"), F.min("account_id").alias("_only"),
-        F.count_if("by_name").alias("names"),
+        F.sum("size").alias("candidates"), F.min(F.when(F.col("size") > 0, F.col("account_id"))).alias("_only"),
+        F.sum(F.when(F.col("by_name"), F.col("size"))).alias("names"),
         F.min(F.when(F.col("by_name"), F.col("account_id"))).alias("_name"),
     )
     account = (
@@ -166,6 +176,59 @@ def resolve_identities(people: DataFrame, hits: DataFrame, users: DataFrame) ->
     )
 
 
+def _with_answers(candidates: DataFrame, people: DataFrame, active: DataFrame,
+                  searches: DataFrame, answers: DataFrame) -> DataFrame:
+    """The candidates of each person and, one row per class, those that name searches find.
+
+    A class holds the accounts that the same searches find and that have the same names:
+    to a person all of them are candidates or none, and all fit the name or none.
+    """
+    folded = lambda c: tx.fold(tx.strip(tx.present(F.col(c))))
+    known = active.groupBy("account_id").agg(
+        F.array_sort(F.collect_set(folded("display_name"))).alias("shown"),
+        F.collect_set(folded("user_email")).alias("addresses"),
+    )
+    found = answers.groupBy("account_id").agg(F.array_sort(F.collect_set("search")).alias("found_by"))
+    members = durable.stored(known.join(found, "account_id").select(
+        "account_id", "addresses", "found_by", "shown",
+        F.sha2(F.to_json(F.struct("found_by", "shown")), 256).alias("class"),
+    ), "directory-members")
+    classes = members.groupBy("class").agg(
+        F.count(F.lit(1)).alias("size"), F.min("account_id").alias("account_id"),
+        F.any_value("found_by").alias("found_by"), F.any_value("shown").alias("shown"),
+    )
+    mine = people.filter(F.col("email").isNotNull()).groupBy("email").agg(
+        F.collect_set(folded("name")).alias("called")
+    )
+    wanted = searches.select("email", "search").distinct()
+    reached = durable.stored(
+        skew_join(wanted, classes.select("class", F.explode("found_by").alias("search")), ["search"])
+        .select("email", "class").distinct().join(mine, "email"), "reached-classes"
+    )
+    called = F.filter("called", lambda n: n != "")
+    whole = skew_join(reached, classes, ["class"]).select(
+        "email", "account_id", F.lit(False).alias("by_email"),
+        F.arrays_overlap(called, "shown").alias("by_name"), F.lit(2).alias("stage"), "size",
+    )
+    # the least account of a class under the person's own address
+    own = members.select("class", "account_id", F.explode("addresses").alias("address")).groupBy("class", "address").agg(
+        F.min("account_id").alias("account_id")
+    )
+    by_mail = reached.withColumn("address", tx.fold(tx.strip(F.col("email")))).join(own, ["class", "address"]).select(
+        "email", "account_id", F.lit(True).alias("by_email"), F.lit(None).cast("boolean").alias("by_name"),
+        F.lit(2).alias("stage"), F.lit(0).alias("size"),
+    )
+    # a candidate that a class of the person holds too counts there
+    held = candidates.join(members.select("account_id", "class"), "account_id", "left").join(
+        reached.select("email", "class", F.lit(0).alias("_held")), ["email", "class"], "left"
+    )
+    alone = held.withColumn("size", F.coalesce("_held", "size")).withColumn(
+        "by_name", F.when(F.col("size") > 0, F.col("by_name"))
+    )
+    columns = ["email", "account_id", "by_email", "by_name", "stage", "size"]
+    return alone.select(columns).unionByName(whole.select(columns)).unionByName(by_mail.select(columns))
+
+
 def with_account_override(rows: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
     """A mapped account (by address or label) replaces the found one."""
     clean = mapping.select(

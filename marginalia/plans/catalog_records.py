@@ -379,13 +379,11 @@ def resolved_identities(spark, sf_dir):
         "name", F.when(F.col("c_custkey") % 2 == 0, F.col("display_name")).otherwise("Other")
     )
     by_mail = signed_in.filter("c_custkey % 3 = 0").select("email", "account_id", F.lit("email").alias("query"))
-    names = users.select(F.lower("display_name").alias("k"), F.col("account_id"))
-    by_name = signed_in.select("email", F.lower("name").alias("k")).join(names, "k").select(
-        "email", "account_id", F.lit("name").alias("query")
-    )
+    searches = signed_in.select("email", F.lower("name").alias("search"))
+    answers = users.select(F.lower("display_name").alias("search"), "account_id")
     return tickets.resolve_identities(
-        signed_in.select("email", "name"), by_mail.unionByName(by_name),
-        users.select("account_id", "display_name", "email", "active"),
+        signed_in.select("email", "name"), by_mail, users.select("account_id", "display_name", "email", "active"),
+        searches, answers,
     )
 
 

@@ -328,6 +328,26 @@ def test_people(spark):
     assert out == {"S@x.test": ("1", "matched"), "h@x.test": (None, "ambiguous"), "n@x.test": (None, "none"), "o@x.test": ("2", "matched")}
 
 
+def test_name_searches_give_the_same_accounts_as_their_pairs(spark):
+    shown = ["Ann Lee", "ann lee", " Ann Lee", "Bo", "Bo", "", None, "Cy"]
+    users = spark.createDataFrame(
+        [(f"a{i % 9}" if i % 10 else None, shown[i % 8], [f"P{i % 6}@x.test ", "", None][i % 3], i % 7 != 3) for i in range(40)],
+        "account_id string, display_name string, email string, active boolean")
+    people = spark.createDataFrame(
+        [(f"p{i % 11}@x.test" if i % 12 else None, shown[i % 5] if i % 4 else ["Other", "", None, "Cy"][i % 3]) for i in range(30)],
+        "email string, name string")
+    by_mail = spark.createDataFrame(
+        [(f"p{i}@x.test", f"a{i * 2 % 9}", "email") for i in range(0, 11, 2)] + [("p1@x.test", "a3", "name")],
+        "email string, account_id string, query string")
+    searches = people.select("email", F.lower("name").alias("search"))
+    answers = users.select(F.lower("display_name").alias("search"), "account_id")
+    pairs = searches.join(answers, "search").select("email", "account_id", F.lit("name").alias("query"))
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    whole = order(tickets.resolve_identities(people, by_mail.unionByName(pairs), users))
+    assert {r[2] for r in whole} == {"matched", "ambiguous", "none"} and len(whole) == 30
+    assert order(tickets.resolve_identities(people, by_mail, users, searches, answers)) == whole
+
+
 def test_handoff_steps(spark):
     df = spark.createDataFrame([("K-1", "Ready", "qa", [("done_FINAL_1.csv",)])],
                                "key string, status string, assignee_account_id string, attachments array<struct<filename: string>>")
