@@ -23,6 +23,15 @@ def fits_broadcast(df: DataFrame) -> bool:
     return (df.agg(size.alias("n")).first()["n"] or 0) <= BROADCAST_BYTES
 
 
+def by_shuffle(rows: DataFrame) -> DataFrame:
+    """Rows that a join shuffles and never hands to every executor by way of the driver.
+
+    For tables that grow with the input: Spark guesses the size of what is made from a
+    small file, and texts cut into pieces are many times larger than it guesses.
+    """
+    return rows.hint("merge")
+
+
 def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str],
                 how: str = "left") -> DataFrame:
     """Join a table that is usually small and has one row per key.

@@ -16,7 +16,7 @@ from marginalia.functions.comments import training_comment
 from marginalia.functions.decisions import parse_decision
 from marginalia.functions.signature import SIGNATURE_COLUMNS, pair_id, with_signature
 from marginalia.operators import durable
-from marginalia.operators.joins import lookup_join, skew_join, with_one_row
+from marginalia.operators.joins import by_shuffle, lookup_join, skew_join, with_one_row
 from marginalia.operators.review import KEY, flagged
 
 # Fixed: the column names and their order are those of the stored table.
@@ -114,14 +114,14 @@ def match(findings: DataFrame, observations: DataFrame,
         ), "probes",
     )
     agreed = decided(known, "fingerprint")
-    exact = probes.select("fingerprint").join(agreed, "fingerprint").withColumns(
+    exact = probes.select("fingerprint").join(by_shuffle(agreed), "fingerprint").withColumns(
         {"memory_match": F.lit("exact"), "memory_score": F.lit(1.0)}
     )
-    rest = probes.join(agreed, "fingerprint", "left_anti").drop("findings")
+    rest = probes.join(by_shuffle(agreed.select("fingerprint")), "fingerprint", "left_anti").drop("findings")
     near = near_decisions(rest, known, threshold, autojunk)
     total = probes.agg(F.sum("findings")).first()[0] or 0
     return skew_join(
-        rows.select(*KEY, "fingerprint"), exact.unionByName(near), ["fingerprint"], rows=total
+        rows.select(*KEY, "fingerprint"), by_shuffle(exact.unionByName(near)), ["fingerprint"], rows=total
     ).drop("fingerprint")
 
 
@@ -161,9 +161,9 @@ def near_pairs(probes: DataFrame, known: DataFrame, threshold: float) -> DataFra
     block = ["core_key", "anchor_kind"]
     length = F.length("anchor")
     probes = durable.stored(
-        probes.join(known.select(*block).distinct(), block, "left_semi"), "near-probes"
+        probes.join(by_shuffle(known.select(*block).distinct()), block, "left_semi"), "near-probes"
     )
-    known = known.join(probes.select(*block).distinct(), block, "left_semi")
+    known = known.join(by_shuffle(probes.select(*block).distinct()), block, "left_semi")
     # pieces in all, which bounds the fact side of the joins below
     total = probes.agg(F.sum(F.floor(length / size))).first()[0] or 0
 
@@ -190,18 +190,18 @@ def near_pairs(probes: DataFrame, known: DataFrame, threshold: float) -> DataFra
     allowed = tolerated_edits(F.col("length"), threshold)
     rarest = Window.partitionBy("fingerprint").orderBy(F.coalesce("_n", F.lit(0)), "at")
     chosen = (
-        skew_join(pieces, frequency, ["piece"], "left", rows=total)
+        skew_join(pieces, by_shuffle(frequency), ["piece"], "left", rows=total)
         .withColumn("_r", F.row_number().over(rarest))  # a handful of pieces per anchor
         .filter((F.col("_r") <= allowed + 1) & F.col("_n").isNotNull())
         .drop("_r", "_n")
     )
     both = F.col("length") + F.col("known_length")
     shorter = F.least("length", "known_length")
-    candidates = skew_join(chosen, grams, ["piece"], rows=total).filter(
+    candidates = skew_join(chosen, by_shuffle(grams), ["piece"], rows=total).filter(
         (F.abs(F.col("at") - F.col("known_at")) <= allowed)
         & (2.0 * shorter >= threshold * both - 1e-9)
     ).select("fingerprint", "known_fingerprint")
-    same = probes.select("fingerprint").join(known.select("fingerprint"), "fingerprint").select(
+    same = probes.select("fingerprint").join(by_shuffle(known.select("fingerprint")), "fingerprint").select(
         "fingerprint", F.col("fingerprint").alias("known_fingerprint")
     )
     return durable.stored(candidates.unionByName(same).distinct(), "near-pairs")
@@ -215,8 +215,8 @@ def near_decisions(probes: DataFrame, known: DataFrame, threshold: float,
         "core_key", "anchor_kind"
     )
     texts = probes.select("fingerprint", F.col("anchor").alias("_new"))
-    paired = skew_join(pairs, stored, ["known_fingerprint"], rows=pairs.count()).join(
-        texts, "fingerprint"
+    paired = skew_join(pairs, by_shuffle(stored), ["known_fingerprint"], rows=pairs.count()).join(
+        by_shuffle(texts), "fingerprint"
     )
     similarity = tx.similarity_udf(threshold, autojunk)
     scored = paired.withColumn("_s", similarity("_new", "_stored")).filter("_s.score IS NOT NULL")

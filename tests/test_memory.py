@@ -344,3 +344,20 @@ def test_event_rows_and_link_rules(spark):
     for bad in (("a", "", "", "u", ""), ("zz", "K", "", "u", "")):
         with pytest.raises(library.LibraryError):
             library.link_rows(spark.createDataFrame([bad], link), reports, now())
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    plans = {}
+    keep = memory.durable.stored
+
+    def stored(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(memory.durable, "stored", stored)
+    rows = spark.range(40).select(
+        F.concat(F.lit("f"), "id").alias("fingerprint"), F.lit("c").alias("core_key"), F.lit("context").alias("anchor_kind"),
+        F.concat(F.lit("some longer text around the change number "), F.col("id")).alias("anchor"))
+    pairs = memory.near_pairs(rows, rows, 0.97)
+    assert {(r[0], r[1]) for r in pairs.collect()} >= {(f"f{i}", f"f{i}") for i in range(40)}
+    assert "SortMergeJoin" in plans["near-pairs"] and "BroadcastHashJoin" not in "".join(plans.values())
