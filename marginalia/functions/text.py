@@ -64,11 +64,13 @@ def rstrip(text: Column, chars: str = WHITE) -> Column:
     return F.rtrim(text, F.lit(chars))
 
 
-# One character class of all white space; single characters come first, which the
-# regular expression engine keeps in one bit table.
+# One character class of all white space; characters of one byte come first, which the
+# regular expression engine keeps in one bit table.  The others are looked at one by one
+# only within their range, so that a letter costs two tests and not one for each of them.
+_WIDE = "".join(f"\\x{{{ord(c):x}}}" for c in WHITE if c > "\xff")
 _BLANKS = "[" + "".join(
-    f"\\x{{{ord(c):x}}}" for c in WHITE if not "\u2000" <= c <= "\u200a"
-) + "\\x{2000}-\\x{200a}]+"
+    f"\\x{{{ord(c):x}}}" for c in WHITE if c <= "\xff"
+) + f"[\\x{{1680}}-\\x{{3000}}&&[{_WIDE}]]]+"
 
 
 def collapse(text: Column) -> Column:
@@ -129,16 +131,9 @@ def needs_slow_path(text: Column) -> Column:
 
 def normalize_native(text: Column) -> Column:
     """Match form of a text without character references or rare folds."""
-    folded = fold(text)
-    urls = F.when(
-        F.contains(folded, F.lit("://")),
-        F.regexp_replace(folded, py_regex(fixed.URL_TEXT), " <url> "),
-    ).otherwise(folded)
-    ids = F.when(
-        urls.rlike("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-"),
-        F.regexp_replace(urls, py_regex(fixed.UUID_TEXT), " <uuid> "),
-    ).otherwise(urls)
-    return collapse(ids)
+    # each step once: a branch would have the steps before it evaluated again
+    urls = F.regexp_replace(fold(text), py_regex(fixed.URL_TEXT), " <url> ")
+    return collapse(F.regexp_replace(urls, py_regex(fixed.UUID_TEXT), " <uuid> "))
 
 
 _URL = re.compile(fixed.URL_TEXT, re.I)

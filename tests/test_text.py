@@ -180,3 +180,14 @@ def test_anchor_kinds(spark):
     assert got["none"]["fingerprint"] == "" and got["none"]["anchor_kind"] == ""
     assert len({r["core_key"] for r in got.values()}) == 1
     assert fixed.FINGERPRINT_VERSION == 1
+
+
+def test_match_form_names_each_step_once(spark):
+    assert str(tx.normalize_native(F.col("a"))).count("lower(") == 1
+
+
+def test_blanks_are_all_white_space(spark):
+    every = [chr(c) for c in range(1, 0x3100)]
+    rows = spark.createDataFrame([(c, f"a{c}{c}b") for c in every], "c string, t string")
+    white = {r["c"] for r in rows.filter(tx.collapse(F.col("t")) == "a b").collect()}
+    assert white == {c for c in every if c.isspace()}
