@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marginalia import fixed
 from marginalia.operators import durable, library, merging, parse, tickets
 from marginalia.plans import flows
-from marginalia.plans.bridge import kept, spread, table
+from marginalia.plans.bridge import TASK_TICKETS, kept, spread, table
 from marginalia.plans.catalog import derived_cards, query
 from marginalia.plans.oracle import sql
 from marginalia.streaming import flows as streams
@@ -191,7 +191,7 @@ FROM {orders} WHERE TRUE
 
 
 def read_tickets(spark, sf_dir):
-    raw = spark.sql(TICKET_SQL, orders=spread(table(spark, sf_dir, "orders")))
+    raw = spark.sql(TICKET_SQL, orders=spread(table(spark, sf_dir, "orders"), TASK_TICKETS))
     return tickets.normalize_tickets(raw, "https://t.test")
 
 

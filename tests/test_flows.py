@@ -328,6 +328,16 @@ def test_people(spark):
     assert out == {"S@x.test": ("1", "matched"), "h@x.test": (None, "ambiguous"), "n@x.test": (None, "none"), "o@x.test": ("2", "matched")}
 
 
+def test_rows_of_a_file_with_few_splits_go_to_tasks_of_a_bounded_size(spark, tmp_path):
+    from marginalia.plans import bridge
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    rows = bridge.table(spark, str(tmp_path), "t")
+    many = bridge.spread(rows, 50)
+    assert many.rdd.getNumPartitions() == 20 and many.distinct().count() == 1000
+    assert bridge.spread(rows, 1000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_name_searches_give_the_same_accounts_as_their_pairs(spark):
     shown = ["Ann Lee", "ann lee", " Ann Lee", "Bo", "Bo", "", None, "Cy"]
     users = spark.createDataFrame(
