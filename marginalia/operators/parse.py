@@ -148,9 +148,9 @@ def attribute(block: Column, name: str) -> Column:
 
 
 def _tab(card: Column, name: str) -> Column:
-    return tx.extract_or_null(
-        card, tx.py_regex(rf'(?s)data-tab="{name}">(.*?)</div>\s*</div>')
-    )
+    # looked for once: a test before it would read the tab twice
+    pattern = tx.py_regex(rf'(?s)data-tab="{name}">(.*?)</div>\s*</div>')
+    return F.get(F.regexp_extract_all(card, F.lit(pattern), F.lit(1)), 0)
 
 
 RECORD_FIELDS = (
@@ -168,9 +168,8 @@ def issues_from_cards(cards: DataFrame) -> DataFrame:
     """
     card = F.col("card")
     node = tx.py_regex(r"<strong>([^<]+)</strong>:\s*([^&<]+)")
-    chunks = F.filter(
-        F.split(card, f"(?={ISSUE_START})", -1), lambda c: c.startswith(ISSUE_START)
-    )
+    # what stands behind each opening of an issue; no card holds so many as the slice may
+    chunks = F.slice(F.split(card, ISSUE_START, -1), 2, 1 << 30)
 
     def issue(chunk: Column) -> Column:
         return F.struct(
@@ -181,7 +180,9 @@ def issues_from_cards(cards: DataFrame) -> DataFrame:
             tx.extract_or_null(chunk, '(?s)class="reasoning">(.*?)</div>').alias("reasoning"),
         )
 
-    parsed = cards.select(
+    # Cards without an issue go by a test of their text: one of the issues taken out of it
+    # would have Spark take them out twice, below the columns and again in them.
+    parsed = cards.filter(F.contains(card, F.lit(ISSUE_START))).select(
         "report_id", "chunk", "card_order",
         *[attribute(card, f"data-{n}").alias(f"card_{n}") for n in ("checker", "confidence", "field")],
         tx.strip(tx.extract_or_null(card, node, 1)).alias("node_type"),
@@ -193,7 +194,7 @@ def issues_from_cards(cards: DataFrame) -> DataFrame:
         tx.present(_tab(card, "text-diff")).alias("_diff"),
         _tab(card, "original").alias("_original_tab"),
         F.transform(chunks, issue).alias("_issues"),
-    ).filter(F.size("_issues") > 0)
+    )
     decoded = parsed.withColumn("_decoded", _read_issues("_diff", "_original_tab", "_issues"))
     rows = decoded.select(
         "*", F.posexplode(F.arrays_zip("_issues", "_decoded")).alias("issue_order", "_issue")

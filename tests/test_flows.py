@@ -371,3 +371,14 @@ def test_handoff_steps(spark):
     assert got == {"r2": ["attach", "comment", "assign", "transition"]}
     name = spark.range(1).select(tickets.handoff_name(F.lit("x"), F.lit("abc"))).first()[0]
     assert name == "x_FINAL_ba7816bf8f.csv"
+
+
+def test_a_text_is_split_into_lines_once(spark, tmp_path):
+    from marginalia.plans import bridge
+
+    spark.createDataFrame([(1, "a\nb\n\nc", "s", "en", 6), (2, "", "s", "en", 0), (None, None, None, None, None)],
+                          "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = bridge.lines(spark, str(tmp_path))
+    assert sorted((r["doc_id"], r["pos"], r["line"], r["prev"], r["next"]) for r in rows.collect()) == [
+        (1, 0, "a", "", "b"), (1, 1, "b", "a", ""), (1, 2, "", "b", "c"), (1, 3, "c", "", ""), (2, 0, "", "", "")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

@@ -195,3 +195,16 @@ def test_archives(spark, tmp_path):
 def test_html_unescape(spark):
     df = spark.createDataFrame([("&lt;p&gt; &amp;amp;",)], "t string")
     assert df.select(tx.html_unescape("t")).first()[0] == "<p> &amp;"
+
+
+def test_issues_are_taken_out_of_a_card_once(spark):
+    card = ('<div data-tab="text-diff">a</div> </div>' + parse.ISSUE_START + ' data-checker="c"><input data-comment-for="{}"></div>')
+    texts = [card.format("1") + parse.ISSUE_START + "><input data-comment-for=\"2\"></div>", "no issue", None, parse.ISSUE_START]
+    cards = spark.createDataFrame(
+        [("r", i, i, t) for i, t in enumerate(texts)], "report_id string, chunk long, card_order long, card string"
+    )
+    rows = parse.issues_from_cards(cards)
+    found = sorted((r["card_order"], r["issue_order"], r["issue_id"]) for r in rows.select("card_order", "issue_order", "issue_id").collect())
+    assert [f[:2] for f in found] == [(0, 0), (0, 1), (3, 0)] and [f[2] for f in found] == ["1", "2", None]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("issue-proposed") == 2 and plan.count("split(") == 1  # its test and its value, in one place
