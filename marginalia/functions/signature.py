@@ -61,3 +61,15 @@ def with_signature(findings: DataFrame) -> DataFrame:
     return work.withColumn(
         "fingerprint", F.when(F.col("anchor_kind") != "", fingerprint).otherwise("")
     ).drop("_before", "_after", "_label", "_path")
+
+
+def with_fingerprint(findings: DataFrame) -> DataFrame:
+    """Findings that have a fingerprint, with their signature.
+
+    The signature passes through a generator, below which Spark moves no test of it: there
+    each name in the test would be the whole normalisation of the texts, made again.
+    """
+    signed = with_signature(findings)
+    others = [c for c in signed.columns if c not in SIGNATURE_COLUMNS]
+    once = F.inline(F.array(F.struct(*SIGNATURE_COLUMNS)))
+    return signed.select(*others, once).filter(F.col("fingerprint") != "")

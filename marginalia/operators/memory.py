@@ -14,7 +14,7 @@ from marginalia import fixed
 from marginalia.functions import text as tx
 from marginalia.functions.comments import training_comment
 from marginalia.functions.decisions import parse_decision
-from marginalia.functions.signature import SIGNATURE_COLUMNS, pair_id, with_signature
+from marginalia.functions.signature import SIGNATURE_COLUMNS, pair_id, with_fingerprint, with_signature
 from marginalia.operators import durable
 from marginalia.operators.joins import by_shuffle, lookup_join, skew_join, with_one_row
 from marginalia.operators.review import KEY, flagged
@@ -86,9 +86,9 @@ def relevant_observations(findings: DataFrame, observations: DataFrame) -> DataF
 def open_findings(findings: DataFrame) -> DataFrame:
     """Flagged findings that can be looked up."""
     rows = flagged(findings)
-    if "fingerprint" not in rows.columns:
-        rows = with_signature(rows)
-    return rows.filter("fingerprint <> ''").select(
+    known = "fingerprint" in rows.columns
+    rows = rows.filter("fingerprint <> ''") if known else with_fingerprint(rows)
+    return rows.select(
         *KEY, "fingerprint", "core_key", "anchor_kind", "anchor"
     )
 
@@ -253,18 +253,18 @@ def reviewed_rows(findings: DataFrame, reviews: DataFrame) -> DataFrame:
     return rows.withColumn("_p", parse_decision(F.col("decision"), F.col("review_note")))
 
 
-def signed(rows: DataFrame) -> DataFrame:
+def signed(rows: DataFrame, sign=with_signature) -> DataFrame:
     """Rows with their signature, computed only where the rows do not carry it."""
     if all(c in rows.columns for c in SIGNATURE_COLUMNS):
         return rows
-    return with_signature(rows.drop(*[c for c in SIGNATURE_COLUMNS if c in rows.columns]))
+    return sign(rows.drop(*[c for c in SIGNATURE_COLUMNS if c in rows.columns]))
 
 
 def observations_from_reviews(findings: DataFrame, reviews: DataFrame, names: DataFrame,
                               as_of: Column) -> DataFrame:
     """Observations to publish.  ``names`` maps ``report_id`` to ``source_report``."""
     decided_rows = reviewed_rows(findings, reviews).filter(F.col("_p.status").isNotNull())
-    rows = signed(decided_rows).filter(F.col("fingerprint") != "")
+    rows = signed(decided_rows, with_fingerprint).filter(F.col("fingerprint") != "")
     note = training_comment(
         F.col("_p.note"), F.col("checker"), F.col("original"), F.col("proposed")
     )

@@ -361,3 +361,19 @@ def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
     pairs = memory.near_pairs(rows, rows, 0.97)
     assert {(r[0], r[1]) for r in pairs.collect()} >= {(f"f{i}", f"f{i}") for i in range(40)}
     assert "SortMergeJoin" in plans["near-pairs"] and "BroadcastHashJoin" not in "".join(plans.values())
+
+
+def test_the_test_of_a_fingerprint_does_not_compute_it_again(spark):
+    from marginalia.functions.signature import with_fingerprint, with_signature
+
+    names = ("checker", "field", "original", "proposed", "context_before", "context_after", "node_label", "breadcrumb")
+    rows = spark.createDataFrame(
+        [("c", "f", "a", "b", "long text before it &amp; more", "after", "n", "Unit 1 > x"), ("c", "f", "a", "b", "", "", "", ""),
+         (None,) * 8, ("c", "f", "a", "b", "", "", "Label of it", "Course > Unit 2")], ", ".join(f"{n} string" for n in names))
+    found, plain = with_fingerprint(rows), with_signature(rows).filter("fingerprint <> ''")
+    assert sorted(map(str, found.select(*plain.columns).collect())) == sorted(map(str, plain.collect())) and found.count() == 2
+
+    def lowered(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+
+    assert lowered(found) == lowered(with_signature(rows)) < lowered(plain)
