@@ -29,11 +29,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/marginalia-{run}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     """The rows written once as Parquet in the checkpoint folder and read back.
 
     Unlike a cached table it outlives lost executors, and later reads prune columns.
+    ``file_rows`` bounds the rows of one file, so that later reads can be cut as fine.
+    Texts make up most of these tables: zstd writes them smaller than Spark's default.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+    options = {"compression": "zstd", "maxRecordsPerFile": file_rows}
+    df.write.mode("errorifexists").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -382,3 +382,18 @@ def test_a_text_is_split_into_lines_once(spark, tmp_path):
     assert sorted((r["doc_id"], r["pos"], r["line"], r["prev"], r["next"]) for r in rows.collect()) == [
         (1, 0, "a", "", "b"), (1, 1, "b", "a", ""), (1, 2, "", "b", "c"), (1, 3, "c", "", ""), (2, 0, "", "", "")]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_stored_rows_are_read_by_small_tasks_without_a_shuffle(spark):
+    from marginalia.operators import durable
+    from marginalia.plans import bridge
+
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(900)), lambda i: F.sha2(F.concat("id", i).cast("string"), 512)))
+    stored = durable.stored(spark.range(1000, numPartitions=1).withColumn("t", text), "texts", 50)
+    assert stored.rdd.getNumPartitions() < 20
+    name = "spark.sql.files.minPartitionNum"
+    with bridge.reading_in_tasks(stored, 50) as rows:
+        again = rows.select("*")
+        parts = again.rdd.glom().map(len).collect()
+        assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+    assert sum(parts) == 1000 and max(parts) <= 100 and spark.conf.get(name, None) is None
