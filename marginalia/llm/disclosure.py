@@ -165,7 +165,7 @@ def document_key(id_col: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(row_key(id_col, F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))))
 
 
-def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def search(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_id, _doc, counts per kind, base spans, entities and contexts of every row."""
     rows = _rows(docs, id_col, text_col)
     kind = rows.schema["_id"].dataType.simpleString()
@@ -186,11 +186,15 @@ def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ["_id", "_doc", *(f"n_{k}" for k in KINDS), "base", "held"],
             )
 
-    out = rows.mapInArrow(
+    return rows.mapInArrow(
         released(searched), f"_id {kind}, _doc binary, " + "".join(f"n_{k} bigint, " for k in KINDS)
         + "base string, held array<struct<e: bigint, g: int, c: bigint>>",
     )
-    return stored(out, "disclosure-found")
+
+
+def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``search``, searched once for all that read them."""
+    return stored(search(docs, id_col, text_col), "disclosure-found")
 
 
 def bit_map(terms: DataFrame) -> bytes:
@@ -272,9 +276,9 @@ def disclosing(docs: DataFrame, text_col: str, found: DataFrame, generalise: flo
     and ``g`` is 0 if one of them is no group.
 
     ``share`` is the plain ratio of the counts; ``judged``, the share less what few
-    contexts leave uncertain, must reach ``generalise``.
+    contexts leave uncertain, must reach ``generalise``.  ``found`` is read once.
     """
-    total = F.lit(float(max(found.count(), 1)))
+    total = F.lit(float(max(docs.count(), 1)))
     rows = _rows(docs, id_col, text_col)
     held = stored(found.select("_doc", F.explode("held").alias("x")).select("_doc", "x.*").distinct(), "disclosure-held")
     information, prior = F.log(total / F.col("n_e")), F.col("n_e") / total
@@ -405,7 +409,7 @@ def sanitised(text: str, terms: list[tuple[int, int, float]], remove: float = RE
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with their texts sanitised; all other columns stay.  Null texts stay null."""
-    found = find(docs, id_col, text_col)
+    found = search(docs, id_col, text_col)  # only its entities are read, and once
     marked = term_spans(docs, id_col, text_col, disclosing(docs, text_col, found, id_col=id_col))
     names, at = docs.columns, docs.columns.index(text_col)
     keyed = docs.select(F.struct(*names).alias("_row"), document_key(F.col(id_col), F.col(text_col)).alias("_doc"))

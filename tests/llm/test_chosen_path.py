@@ -1,5 +1,6 @@
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ import pytest
 from marginalia.llm import chosen_path as cp
 from marginalia.llm.components import components
 from marginalia.llm.words import batched_words, pieces, word_hashes
+from marginalia.operators.durable import stored
 
 WORD = re.compile("[a-z0-9_\x80-\U0010ffff]+")
 
@@ -147,3 +149,25 @@ def test_components_of_a_path_and_a_hub(spark):
     assert all(got[f"a{i:03}"] == "a000" for i in range(61)) and all(got[f"k{i}"] == "h" for i in range(50))
     assert "z" not in got and "q" not in got and len(got) == 112
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_rounds_of_a_small_graph_are_one_file_each(spark, monkeypatch):
+    """Whatever the session's shuffles are: each file costs a process or a request or two."""
+    module, files = sys.modules["marginalia.llm.components"], []
+
+    def counted(rows, name):
+        kept = stored(rows, name)
+        files.append(len(kept.inputFiles()))
+        return kept
+
+    monkeypatch.setattr(module, "stored", counted)
+    edges = spark.createDataFrame([(f"{i:04}", f"{i + 1:04}") for i in range(300) if i % 10 < 9], "a string, b string")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merging)
+    spark.conf.set(merging, "false")
+    try:
+        got = {r.node: r.root for r in module.components(edges).collect()}
+    finally:
+        spark.conf.set(merging, before)
+    assert got == {f"{i:04}": f"{i - i % 10:04}" for i in range(300)}
+    assert len(files) > 5 and set(files[1:]) == {1}

@@ -184,3 +184,21 @@ def test_terms_are_counted_and_marked_everywhere(documents, spark):
     term = d._signed(d.hashed(*d.spans(b"zebediah")))[0]
     shares = {r.e: r.share for r in d.disclosing(docs, "text", found).collect() if r.t == term}
     assert abs(shares[d._digest("email:zed@corp.org")] - math.log(10 * 211 / (10 * 11)) / math.log(211 / 10)) < 1e-9
+
+
+def test_sanitising_writes_no_row_without_personal_data(documents, monkeypatch):
+    """Only entities of the rows that hold some are kept, not a table of all rows searched."""
+    rows = [(i, f"plain{i} words about thing{i % 7} and nothing else") for i in range(200)]
+    rows += [(300 + k, f"ask Wilhelmina first{k} at wil@corp.org") for k in range(3)]
+    kept, stored = {}, d.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(d, "stored", counted)
+    clean = {r.doc_id: r.text for r in d.sanitise(documents(rows)).collect()}
+    assert len(clean) == 203 and all(clean[i] == t for i, t in rows if i < 300)
+    assert not any("wil@corp.org" in t for t in clean.values())
+    assert kept["disclosure-held"] == 6 and max(kept.values()) < 200
