@@ -49,9 +49,10 @@ GENERALISE, REMOVE = 0.8, 0.95
 CONTEXTS = 1
 """Contexts of a pair that are no evidence: the one in which the term was met at all."""
 
-LEAST_BITS, MOST_BITS = 16, 28
-"""Sizes of bit maps: sixteen bits for each term in them, within these powers of two (32 MB
-at most; a fuller map lets more words through to the join, and loses none)."""
+TERM_BITS, LEAST_BITS, MOST_BITS = 256, 16, 28
+"""Sizes of bit maps: so many bits for each term in them, within these powers of two (32 MB
+at most; a fuller map lets more words through to the join, and loses none).  All words of
+all texts are held against a map, so what it lets through in error must be few of them."""
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -200,13 +201,12 @@ def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bit_map(terms: DataFrame) -> bytes:
     """A map with a bit set where the first bits of a hash ``t`` of the terms fall."""
     n = terms.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * n + 1))))
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(TERM_BITS * n + 1))))
     place = F.shiftrightunsigned("t", 64 - bits)
     words = terms.groupBy(F.shiftright(place, 6).alias("i"), F.pmod(place, F.lit(64)).cast("int").alias("b")).count()
-    words = words.groupBy("i").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).collect()  # at most 2 ** (bits - 6) rows
+    words = words.groupBy("i").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).toArrow()  # at most 2 ** (bits - 6) rows
     table = np.zeros(1 << (bits - 6), "<i8")
-    for r in words:
-        table[r["i"]] = r["bits"]
+    table[words["i"].to_numpy()] = words["bits"].to_numpy()
     return table.tobytes()
 
 

@@ -3,6 +3,9 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from marginalia.llm import disclosure as d
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -202,3 +205,13 @@ def test_sanitising_writes_no_row_without_personal_data(documents, monkeypatch):
     assert len(clean) == 203 and all(clean[i] == t for i, t in rows if i < 300)
     assert not any("wil@corp.org" in t for t in clean.values())
     assert kept["disclosure-held"] == 6 and max(kept.values()) < 200
+
+
+def test_a_bit_map_lets_few_other_words_through(spark):
+    """However many terms it holds: all words of all texts are held against it."""
+    rng = np.random.default_rng(5)
+    others = rng.integers(0, 1 << 64, 200_000, np.uint64)
+    for n in (0, 1, 3000, 60_000):
+        terms = rng.integers(0, 1 << 64, n, np.uint64)
+        wanted = d.mapped(d.bit_map(spark.createDataFrame(pa.table({"t": pa.array(terms.view(np.int64))}))))
+        assert wanted(terms).all() and wanted(others).sum() < 200_000 / 200
