@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache, reduce
 
@@ -257,24 +258,35 @@ SCORE = T.StructType([
 ])
 
 
-def similarity_udf(threshold: float, autojunk: bool = True):
-    """Similarity of (new text, stored text); null below the threshold.
+def similarities(pairs: Iterable[tuple[str, str]], threshold: float,
+                 autojunk: bool = True) -> Iterator[tuple[float | None, float | None]]:
+    """Similarity, plain and rounded, of (new text, stored text) pairs; none below the threshold.
 
     The matcher's popularity heuristic looks at the stored text only, so the
-    argument order matters.  Its cheap upper bound runs first.
+    argument order matters.  Its cheap upper bound runs first.  Pairs of one stored
+    text should come together.
     """
-
-    @F.pandas_udf(SCORE)
-    def similarity(new: pd.Series, stored: pd.Series) -> pd.DataFrame:
-        scores = []
-        matcher, last = SequenceMatcher(autojunk=autojunk), None
-        for a, b in zip(new, stored):
+    matcher, last = SequenceMatcher(autojunk=autojunk), None
+    for a, b in pairs:
+        if (not autojunk or len(b) < 200) and (a in b or b in a):
+            # no character of the stored text is popular: the shorter text is the longest match
+            both = len(a) + len(b)
+            ratio = 2.0 * min(len(a), len(b)) / both if both else 1.0
+        else:
             if b != last:
                 matcher.set_seq2(b)
                 last = b
             matcher.set_seq1(a)
             ratio = matcher.ratio() if matcher.quick_ratio() >= threshold else 0.0
-            scores.append((ratio, round(ratio, 4)) if ratio >= threshold else (None, None))
+        yield (ratio, round(ratio, 4)) if ratio >= threshold else (None, None)
+
+
+def similarity_udf(threshold: float, autojunk: bool = True):
+    """Similarity of (new text, stored text); null below the threshold."""
+
+    @F.pandas_udf(SCORE)
+    def similarity(new: pd.Series, stored: pd.Series) -> pd.DataFrame:
+        scores = list(similarities(zip(new, stored), threshold, autojunk))
         return pd.DataFrame(scores, columns=["score", "rounded"], dtype="float64")
 
     return similarity

@@ -7,15 +7,16 @@ the last join writes the result back to the findings.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia import fixed
-from marginalia.functions import text as tx
 from marginalia.functions.comments import training_comment
 from marginalia.functions.decisions import parse_decision
 from marginalia.functions.signature import SIGNATURE_COLUMNS, pair_id, with_fingerprint, with_signature
-from marginalia.operators import durable
+from marginalia.operators import durable, near
 from marginalia.operators.joins import by_shuffle, lookup_join, skew_join, with_one_row
 from marginalia.operators.review import KEY, flagged
 
@@ -26,34 +27,35 @@ OBSERVATION_FIELDS = (
     "source_report_id", "issue_id", "updated_at",
 )
 
+BAND = 1.5
+"""Texts of one band of lengths are at most about so many times as long as each other."""
+
 
 # --------------------------------------------------------------- consensus
-def tally(observations: DataFrame, keys: list[str], *carried: str) -> DataFrame:
+def tally(observations: DataFrame, keys: list[str]) -> DataFrame:
     """What the observations of each key say, in a fixed-size row plus source names.
 
     Counts go per key and source first, so a key with very many rows is reduced
     before its sources meet.  Whether statuses or notes differ is minimum against
-    maximum.  ``carried`` columns depend on the key.
+    maximum.
     """
     note = training_comment(
         F.col("note"), F.col("checker"), F.col("original"), F.col("proposed")
     )
     clean = observations.select(
-        *keys, *carried, "status", "source_report",
+        *keys, "status", "source_report",
         F.when(note != "", note).alias("_note"),
     )
     by_source = clean.groupBy(*keys, "source_report").agg(
         F.count(F.lit(1)).alias("rows"),
         F.min("status").alias("lo_status"), F.max("status").alias("hi_status"),
         F.min("_note").alias("lo_note"), F.max("_note").alias("hi_note"),
-        *[F.any_value(c).alias(c) for c in carried],
     )
     return by_source.groupBy(*keys).agg(
         F.sum("rows").alias("rows"),
         F.min("lo_status").alias("lo_status"), F.max("hi_status").alias("hi_status"),
         F.min("lo_note").alias("lo_note"), F.max("hi_note").alias("hi_note"),
         F.array_sort(F.collect_list("source_report")).alias("sources"),
-        *[F.any_value(c).alias(c) for c in carried],
     )
 
 
@@ -94,37 +96,40 @@ def open_findings(findings: DataFrame) -> DataFrame:
 
 
 def match(findings: DataFrame, observations: DataFrame,
-          threshold: float = fixed.NEAR_MATCH_THRESHOLD, autojunk: bool = True) -> DataFrame:
+          threshold: float = fixed.NEAR_MATCH_THRESHOLD, autojunk: bool = True,
+          computed: bool = False) -> DataFrame:
     """Reusable decisions for flagged findings, exact first, then near.
 
-    The two tables that every step reads, one row per fingerprint each, are written
-    to the checkpoint folder: they are far smaller than the findings, and neither the
-    signatures nor the tallies are computed again or lost with an executor.
+    What the observations say, one row per fingerprint, is written to the checkpoint
+    folder: it is far smaller than the findings, and no tally is computed again or lost
+    with an executor.  ``computed`` findings are made when they are read; of them the
+    open ones are written too.
     """
     rows = open_findings(findings)
-    if "fingerprint" not in findings.columns:
+    if computed or "fingerprint" not in findings.columns:
         rows = durable.stored(rows, "open-findings")
+    # the texts meet their tallies where both are dealt out by fingerprint
     known = durable.stored(
-        tally(observations, ["fingerprint"], "core_key", "anchor_kind", "anchor"), "known"
-    )
-    probes = durable.stored(
-        rows.groupBy("fingerprint").agg(
-            F.count(F.lit(1)).alias("findings"),
-            *[F.any_value(c).alias(c) for c in ("core_key", "anchor_kind", "anchor")],
-        ), "probes",
+        by_shuffle(distinct_anchors(observations)).join(
+            by_shuffle(tally(observations, ["fingerprint"])), "fingerprint"
+        ), "known",
     )
     agreed = decided(known, "fingerprint")
-    exact = probes.select("fingerprint").join(by_shuffle(agreed), "fingerprint").withColumns(
-        {"memory_match": F.lit("exact"), "memory_score": F.lit(1.0)}
-    )
-    rest = probes.join(by_shuffle(agreed.select("fingerprint")), "fingerprint", "left_anti").drop("findings")
-    near = near_decisions(rest, known, threshold, autojunk)
-    total = probes.agg(F.sum("findings")).first()[0] or 0
+    exact = agreed.withColumns({"memory_match": F.lit("exact"), "memory_score": F.lit(1.0)})
+    rest = distinct_anchors(rows).join(by_shuffle(agreed.select("fingerprint")), "fingerprint", "left_anti")
+    alike = near_decisions(rest, known, threshold, autojunk)
     return skew_join(
-        rows.select(*KEY, "fingerprint"), by_shuffle(exact.unionByName(near)), ["fingerprint"], rows=total
+        rows.select(*KEY, "fingerprint"), by_shuffle(exact.unionByName(alike)), ["fingerprint"], rows=rows.count()
     ).drop("fingerprint")
 
 
+def distinct_anchors(rows: DataFrame) -> DataFrame:
+    """What the fingerprints stand for, one row each."""
+    return rows.groupBy("fingerprint").agg(
+        *[F.any_value(c).alias(c) for c in ("core_key", "anchor_kind", "anchor")]
+    )
+
+
 def match_exact(findings: DataFrame, observations: DataFrame) -> DataFrame:
     rows = open_findings(findings).select(*KEY, "fingerprint")
     agreed = consensus(observations, ["fingerprint"]).withColumns(
@@ -134,95 +139,62 @@ def match_exact(findings: DataFrame, observations: DataFrame) -> DataFrame:
     return skew_join(rows, agreed, ["fingerprint"], rows=known).drop("fingerprint")
 
 
-def gram_size(threshold: float) -> int:
-    """Piece length for which every text has more pieces than tolerated edits."""
-    slope = 2 * (1 - threshold) / threshold
-    return max(1, int(1 / (2 * slope))) if slope > 0 else 64
-
+def near_pairs(probes: DataFrame, known: DataFrame, threshold: float,
+               autojunk: bool = True) -> DataFrame:
+    """Pairs of (probe, known) fingerprints that reach the threshold, scored; none is lost.
 
-def tolerated_edits(length: Column, threshold: float) -> Column:
-    """Most unmatched characters, both texts together, at the threshold.
-
-    A partner is at most (2-t)/t as long, so both have at most 2/t times the length.
-    """
-    return F.floor(length * (2 * (1 - threshold) / threshold) + 1e-6).cast("int")
-
-
-def near_pairs(probes: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of (probe, known) fingerprints that can reach the threshold; none is lost.
-
-    At the threshold a pair may leave only k characters unmatched.  Cut the probe's
-    anchor into pieces: k characters touch at most k of them, so out of any k+1
-    pieces one stands unchanged in the partner, moved by k at most.  The k+1 pieces
-    that are rarest among the known anchors are looked up; frequent pieces, shared by
-    whole families of texts, are left out without losing a pair.
+    Texts are dealt out by what must be equal and by bands of their length, and meet in
+    ``near.near_copies``: pieces of texts, candidates and pairs of texts are made in the
+    tasks and never written.  A group with many known characters is dealt out in parts.
     """
-    size = gram_size(threshold)
-    block = ["core_key", "anchor_kind"]
-    length = F.length("anchor")
+    block, group = ["core_key", "anchor_kind"], ["core_key", "anchor_kind", "band", "part"]
     probes = durable.stored(
         probes.join(by_shuffle(known.select(*block).distinct()), block, "left_semi"), "near-probes"
     )
-    known = known.join(by_shuffle(probes.select(*block).distinct()), block, "left_semi")
-    # pieces in all, which bounds the fact side of the joins below
-    total = probes.agg(F.sum(F.floor(length / size))).first()[0] or 0
-
-    def piece_key(piece: Column) -> Column:
-        return F.xxhash64(*block, piece)
-
-    pieces = (
-        probes.filter(length >= size)
-        .select("fingerprint", *block, "anchor", length.alias("length"),
-                F.explode(F.sequence(F.lit(0), F.floor(length / size).cast("int") - 1)).alias("_i"))
-        .withColumn("at", F.col("_i") * size + 1)
-        .select("fingerprint", "length", "at",
-                piece_key(F.substring("anchor", F.col("at"), F.lit(size))).alias("piece"))
-    )
-    grams = (
-        known.filter(length >= size)
-        .select(F.col("fingerprint").alias("known_fingerprint"), *block, "anchor",
-                length.alias("known_length"),
-                F.explode(F.sequence(F.lit(1), length - size + 1)).alias("known_at"))
-        .select("known_fingerprint", "known_length", "known_at",
-                piece_key(F.substring("anchor", F.col("known_at"), F.lit(size))).alias("piece"))
+    length = F.greatest(F.length("anchor"), F.lit(1))
+    reach = (2 - threshold) / threshold * (1 + 1e-6)  # a partner is at most so many times as long
+
+    def band(characters: Column) -> Column:
+        return F.floor(F.log(characters) / math.log(BAND)).cast("int")
+
+    wanted = probes.filter("anchor IS NOT NULL").withColumn(
+        "band", F.explode(F.sequence(band(length / reach), band(length * reach)))
     )
-    frequency = grams.groupBy("piece").agg(F.count(F.lit(1)).alias("_n"))
-    allowed = tolerated_edits(F.col("length"), threshold)
-    rarest = Window.partitionBy("fingerprint").orderBy(F.coalesce("_n", F.lit(0)), "at")
-    chosen = (
-        skew_join(pieces, by_shuffle(frequency), ["piece"], "left", rows=total)
-        .withColumn("_r", F.row_number().over(rarest))  # a handful of pieces per anchor
-        .filter((F.col("_r") <= allowed + 1) & F.col("_n").isNotNull())
-        .drop("_r", "_n")
+    held = known.select("fingerprint", *block, "anchor").filter("anchor IS NOT NULL").withColumn("band", band(length))
+    parts = F.lit(1)
+    if (held.agg(F.sum(length)).first()[0] or 0) > near.PART_CHARS:
+        # at most all characters by PART_CHARS such groups, a short list whatever the data
+        large = F.broadcast(
+            held.groupBy(*block, "band").agg(F.ceil(F.sum(length) / near.PART_CHARS).cast("int").alias("_parts"))
+            .filter("_parts > 1")
+        )
+        wanted, held = (side.join(large, [*block, "band"], "left") for side in (wanted, held))
+        parts = F.coalesce("_parts", F.lit(1))
+    held = held.withColumn("part", F.pmod(F.xxhash64("fingerprint"), parts).cast("int"))
+    held = held.join(by_shuffle(probes.select(*block).distinct()), block, "left_semi")
+    wanted = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = held.select(*group, F.lit(False).alias("probe"), "fingerprint", "anchor").unionByName(
+        wanted.select(*group, F.lit(True).alias("probe"), "fingerprint", "anchor")
     )
-    both = F.col("length") + F.col("known_length")
-    shorter = F.least("length", "known_length")
-    candidates = skew_join(chosen, by_shuffle(grams), ["piece"], rows=total).filter(
-        (F.abs(F.col("at") - F.col("known_at")) <= allowed)
-        & (2.0 * shorter >= threshold * both - 1e-9)
-    ).select("fingerprint", "known_fingerprint")
-    same = probes.select("fingerprint").join(by_shuffle(known.select("fingerprint")), "fingerprint").select(
-        "fingerprint", F.col("fingerprint").alias("known_fingerprint")
+    met = rows.repartition(*group).sortWithinPartitions(*group, "probe", "fingerprint")
+    alike = met.mapInArrow(near.near_copies(threshold, autojunk), near.PAIRS)
+    text = ["fingerprint", F.xxhash64("anchor").alias("_text")]
+    same = probes.select(*text).join(by_shuffle(known.select(*text)), ["fingerprint", "_text"]).select(
+        "fingerprint", F.col("fingerprint").alias("known_fingerprint"),
+        F.lit(1.0).alias("score"), F.lit(1.0).alias("rounded"),
     )
-    return durable.stored(candidates.unionByName(same).distinct(), "near-pairs")
+    return durable.stored(alike.unionByName(same), "near-pairs")
 
 
 def near_decisions(probes: DataFrame, known: DataFrame, threshold: float,
                    autojunk: bool = True) -> DataFrame:
     """Decision of the most similar known anchors, one row per probe fingerprint."""
-    pairs = near_pairs(probes, known, threshold)
-    stored = known.withColumnsRenamed({"fingerprint": "known_fingerprint", "anchor": "_stored"}).drop(
-        "core_key", "anchor_kind"
-    )
-    texts = probes.select("fingerprint", F.col("anchor").alias("_new"))
-    paired = skew_join(pairs, by_shuffle(stored), ["known_fingerprint"], rows=pairs.count()).join(
-        by_shuffle(texts), "fingerprint"
-    )
-    similarity = tx.similarity_udf(threshold, autojunk)
-    scored = paired.withColumn("_s", similarity("_new", "_stored")).filter("_s.score IS NOT NULL")
+    pairs = near_pairs(probes, known, threshold, autojunk)
+    said = known.withColumnRenamed("fingerprint", "known_fingerprint").drop("core_key", "anchor_kind", "anchor")
+    scored = skew_join(pairs, by_shuffle(said), ["known_fingerprint"], rows=pairs.count())
     # A probe has few distinct scores (ratios of short lengths), however many partners.
-    by_score = scored.groupBy("fingerprint", F.col("_s.score").alias("score")).agg(
-        F.max("_s.rounded").alias("rounded"),
+    by_score = scored.groupBy("fingerprint", "score").agg(
+        F.max("rounded").alias("rounded"),
         F.sum("rows").alias("rows"),
         F.min("lo_status").alias("lo_status"), F.max("hi_status").alias("hi_status"),
         F.min("lo_note").alias("lo_note"), F.max("hi_note").alias("hi_note"),

@@ -612,9 +612,9 @@ FROM t WHERE NOT both_near OR first = second
 @query("near_matches", sql(("lines",), NEAR_SQL))
 def near_matches(spark, sf_dir):
     n = F.length("line")
-    lines = bridge.lines(spark, sf_dir).filter(
+    lines = durable.stored(bridge.lines(spark, sf_dir).filter(
         n.between(60, 180) & ~F.contains("line", F.lit("¤")) & ~F.contains("line", F.lit("§"))
-    ).select("line").distinct().select("line", n.alias("n"), F.md5("line").alias("core_key"))
+    ).select("line").distinct(), "near-lines").select("line", n.alias("n"), F.md5("line").alias("core_key"))
     even, same = F.col("n") % 2 == 0, F.col("n") % 5 != 0
 
     def observed(source: str, anchor, approves):

@@ -4,12 +4,13 @@ import json
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia import fixed
 from marginalia.functions.signature import with_signature
-from marginalia.operators import joins, learning, library, memory, merging
+from marginalia.operators import joins, learning, library, memory, merging, near
 from marginalia.operators import rulebook as rb
 
 ROW = (
@@ -158,6 +159,67 @@ def test_near_matches_equal_brute_force(spark, monkeypatch, seed, threshold, hot
     assert got == expected
 
 
+@pytest.mark.parametrize("held_chars, part_chars", [(1 << 20, 2 << 20), (300, 500), (1, 1)])
+def test_near_copies_in_small_parts_lose_no_pair(spark, monkeypatch, held_chars, part_chars):
+    monkeypatch.setattr(near, "PART_CHARS", part_chars)
+    plain = near.near_copies
+    monkeypatch.setattr(near, "near_copies", lambda *a: plain(*a, held_chars=held_chars))
+    source, _, target = near_copies(3, 0.9)
+    columns = ("fingerprint", "core_key", "anchor_kind", "anchor")
+    known, probes = (
+        with_signature(rows(spark, *items)).filter("fingerprint <> ''").select(*columns).distinct() for items in (source, target)
+    )
+    pairs = memory.near_pairs(probes, known, 0.9).collect()
+    expected = {}
+    for p in probes.collect():
+        for k in known.collect():
+            score = SequenceMatcher(None, p["anchor"], k["anchor"]).ratio()
+            if p[1:3] == k[1:3] and score >= 0.9:
+                expected[p["fingerprint"], k["fingerprint"]] = (score, round(score, 4))
+    assert len(pairs) == len(expected) > 90 and {(r[0], r[1]): (r[2], r[3]) for r in pairs} == expected
+
+
+@pytest.mark.parametrize("hits", [1 << 20, 50, 1])
+def test_near_copies_of_long_repetitive_and_short_texts(monkeypatch, hits):
+    monkeypatch.setattr(near, "HITS", hits)
+    texts = ["a" * 300, "a" * 296, "ab" * 150, "ab" * 148, "", "a", "abcdefg", "abcdefgh", "abcdefghi", "é" * 40 + "\U0001f600",
+             "\U0001f600" + "é" * 40, "one line of words that is here twice " * 8, "one line of words that is here twice " * 8 + "!"]
+    columns = [[t] * len(texts) * 2 for t in ("c", "context", 0, 0)]
+    side = [False] * len(texts) + [True] * len(texts)
+    names = [f"{s}{i}" for s in "kp" for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, side, names, texts * 2)], names=list("abcdefg"))
+    for threshold in (0.97, 0.9, 0.7):
+        got = {(r["fingerprint"], r["known_fingerprint"]): r["score"]
+               for out in near.near_copies(threshold)(iter([batch])) for r in out.to_pylist()}
+        scores = {(f"p{i}", f"k{j}"): SequenceMatcher(None, a, b).ratio() for i, a in enumerate(texts) for j, b in enumerate(texts)}
+        size = near.gram_size(threshold)
+        assert got == {k: s for k, s in scores.items() if s >= threshold and len(texts[int(k[0][1:])]) >= size}
+
+
+def test_near_matches_write_no_pieces_of_texts(spark, tmp_path, monkeypatch):
+    """Texts cut into pieces at every place were many times larger than the texts themselves."""
+    plans, keep = [], memory.durable.stored
+    monkeypatch.setattr(memory.durable, "stored", lambda df, name: plans.append((name, df)) or keep(df, name))
+    source, reviews, target = near_copies(4, 0.97)
+    memory.match(rows(spark, *target), publish(spark, rows(spark, *source), *reviews)).collect()
+    assert {n for n, _ in plans} == {"open-findings", "known", "near-probes", "near-pairs"}
+    for name, df in plans:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "piece" not in plan and not any("sequence(1" in x and "length" in x for x in plan.splitlines()), name
+
+
+def test_similarity_of_contained_texts(spark):
+    from marginalia.functions import text as tx
+
+    rng = random.Random(5)
+    texts = ["", "a", "aa", *("".join(rng.choice("ab c") for _ in range(n)) for n in (9, 30, 198, 199, 200, 260))]
+    texts += [t[1:] for t in texts] + [t + "x" for t in texts] + ["x" + t + "ab" for t in texts]
+    for autojunk in (True, False):
+        pairs = [(a, b) for b in texts for a in texts]
+        expected = [SequenceMatcher(None, a, b, autojunk).ratio() for a, b in pairs]
+        assert [s for s, _ in tx.similarities(pairs, 0.0, autojunk)] == expected
+
+
 def test_publish_counts(spark):
     findings = rows(spark, row("a", "1", LONG), row("a", "2", LONG), row("a", "3", breadcrumb="", node_label=""),
                     row("a", "4", LONG, status="approved"))
