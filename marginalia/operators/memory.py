@@ -85,14 +85,21 @@ def relevant_observations(findings: DataFrame, observations: DataFrame) -> DataF
 
 
 # ------------------------------------------------------------------- match
-def open_findings(findings: DataFrame) -> DataFrame:
-    """Flagged findings that can be looked up."""
+def open_findings(findings: DataFrame, computed: bool = False) -> DataFrame:
+    """Flagged findings that can be looked up.
+
+    Signatures that are ``computed`` when they are read pass through a generator, below
+    which Spark moves no test of them (see ``with_fingerprint``).
+    """
     rows = flagged(findings)
-    known = "fingerprint" in rows.columns
-    rows = rows.filter("fingerprint <> ''") if known else with_fingerprint(rows)
-    return rows.select(
-        *KEY, "fingerprint", "core_key", "anchor_kind", "anchor"
-    )
+    signature = ("fingerprint", "core_key", "anchor_kind", "anchor")
+    if "fingerprint" not in rows.columns:
+        rows = with_fingerprint(rows)
+    elif computed:
+        rows = rows.select(*KEY, F.inline(F.array(F.struct(*signature)))).filter("fingerprint <> ''")
+    else:
+        rows = rows.filter("fingerprint <> ''")
+    return rows.select(*KEY, *signature)
 
 
 def match(findings: DataFrame, observations: DataFrame,
@@ -105,7 +112,7 @@ def match(findings: DataFrame, observations: DataFrame,
     with an executor.  ``computed`` findings are made when they are read; of them the
     open ones are written too.
     """
-    rows = open_findings(findings)
+    rows = open_findings(findings, computed)
     if computed or "fingerprint" not in findings.columns:
         rows = durable.stored(rows, "open-findings")
     # the texts meet their tallies where both are dealt out by fingerprint

@@ -9,6 +9,9 @@ from marginalia import fixed
 from marginalia.operators.library import LibraryError
 from marginalia.operators.merging import COLLECTIONS
 
+FILE_ROWS = 100_000
+"""Rows of one file of an export: a gzip file is read by one task."""
+
 LONGS = ("finding_count", "reviewable_count", "upload_count", "finding_order")
 # Collection names inside a single-document export.
 DOCUMENT_NAMES = {
@@ -51,11 +54,15 @@ def read_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def write_export(tables: dict[str, DataFrame], path: str, exported_at: str) -> None:
-    """One JSON-lines folder per collection, written in parallel, and a head."""
+    """One folder of gzipped JSON lines per collection, written in parallel, and a head.
+
+    As plain JSON, which names each field in each row, a library is many times its size.
+    """
     spark = next(iter(tables.values())).sparkSession
+    options = {"ignoreNullFields": "false", "compression": "gzip", "maxRecordsPerFile": FILE_ROWS}
     for name, (fields, _) in COLLECTIONS.items():
         rows = tables[name].select(*fields)
-        rows.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{path}/{name}")
+        rows.write.mode("errorifexists").options(**options).json(f"{path}/{name}")
     head = spark.range(1).select(
         F.lit(fixed.MEMORY_SCHEMA_VERSIONS[-1]).alias("schema_version"),
         F.lit(fixed.FINGERPRINT_VERSION).alias("fingerprint_version"),
