@@ -27,8 +27,8 @@ OBSERVATION_FIELDS = (
     "source_report_id", "issue_id", "updated_at",
 )
 
-BAND = 1.5
-"""Texts of one band of lengths are at most about so many times as long as each other."""
+BAND = 4.0
+"""Texts of one band of lengths are at most so many times as long as each other."""
 
 
 # --------------------------------------------------------------- consensus
@@ -150,24 +150,23 @@ def near_pairs(probes: DataFrame, known: DataFrame, threshold: float,
                autojunk: bool = True) -> DataFrame:
     """Pairs of (probe, known) fingerprints that reach the threshold, scored; none is lost.
 
-    Texts are dealt out by what must be equal and by bands of their length, and meet in
-    ``near.near_copies``: pieces of texts, candidates and pairs of texts are made in the
+    Texts are dealt out once, by what must be equal and by bands of their length, and meet
+    in ``near.near_copies``: pieces of texts, candidates and pairs of texts are made in the
     tasks and never written.  A group with many known characters is dealt out in parts.
     """
     block, group = ["core_key", "anchor_kind"], ["core_key", "anchor_kind", "band", "part"]
-    probes = durable.stored(
-        probes.join(by_shuffle(known.select(*block).distinct()), block, "left_semi"), "near-probes"
-    )
     length = F.greatest(F.length("anchor"), F.lit(1))
     reach = (2 - threshold) / threshold * (1 + 1e-6)  # a partner is at most so many times as long
 
     def band(characters: Column) -> Column:
         return F.floor(F.log(characters) / math.log(BAND)).cast("int")
 
-    wanted = probes.filter("anchor IS NOT NULL").withColumn(
+    # the test of the fingerprint makes both readers of the probes alike, so that they are shuffled once
+    usable = " AND ".join(f"{c} IS NOT NULL" for c in ("fingerprint", *block, "anchor"))
+    wanted = probes.filter(usable).withColumn(
         "band", F.explode(F.sequence(band(length / reach), band(length * reach)))
     )
-    held = known.select("fingerprint", *block, "anchor").filter("anchor IS NOT NULL").withColumn("band", band(length))
+    held = known.select("fingerprint", *block, "anchor").filter(usable).withColumn("band", band(length))
     parts = F.lit(1)
     if (held.agg(F.sum(length)).first()[0] or 0) > near.PART_CHARS:
         # at most all characters by PART_CHARS such groups, a short list whatever the data
@@ -178,14 +177,13 @@ def near_pairs(probes: DataFrame, known: DataFrame, threshold: float,
         wanted, held = (side.join(large, [*block, "band"], "left") for side in (wanted, held))
         parts = F.coalesce("_parts", F.lit(1))
     held = held.withColumn("part", F.pmod(F.xxhash64("fingerprint"), parts).cast("int"))
-    held = held.join(by_shuffle(probes.select(*block).distinct()), block, "left_semi")
     wanted = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = held.select(*group, F.lit(False).alias("probe"), "fingerprint", "anchor").unionByName(
         wanted.select(*group, F.lit(True).alias("probe"), "fingerprint", "anchor")
     )
     met = rows.repartition(*group).sortWithinPartitions(*group, "probe", "fingerprint")
     alike = met.mapInArrow(near.near_copies(threshold, autojunk), near.PAIRS)
-    text = ["fingerprint", F.xxhash64("anchor").alias("_text")]
+    text = ["fingerprint", F.xxhash64(*block, "anchor").alias("_text")]
     same = probes.select(*text).join(by_shuffle(known.select(*text)), ["fingerprint", "_text"]).select(
         "fingerprint", F.col("fingerprint").alias("known_fingerprint"),
         F.lit(1.0).alias("score"), F.lit(1.0).alias("rounded"),

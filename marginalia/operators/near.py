@@ -164,10 +164,9 @@ def near_copies(threshold: float, autojunk: bool = True, held_chars: int = HELD_
         known, probes = ([], [], []), ([], [], [])
         index, group, last, chars = None, 0, None, 0
 
-        def carried() -> tuple[list, list, list]:
-            """Known texts of the last group, whose probes may still come."""
-            first = next((i for i, g in enumerate(known[0]) if g == group), len(known[0]))
-            return known[0][first:], known[1][first:], known[2][first:]
+        def known_of(groups: set[int]) -> tuple[list, ...]:
+            at = [i for i, g in enumerate(known[0]) if g in groups]
+            return known if len(at) == len(known[0]) else tuple([c[i] for i in at] for c in known)
 
         for batch in batches:
             *keys, is_probe, names, texts = (c.to_pylist() for c in batch.columns)
@@ -176,10 +175,12 @@ def near_copies(threshold: float, autojunk: bool = True, held_chars: int = HELD_
                     group, last = group + 1, key
                 if chars > held_chars:
                     if probes[0]:
-                        index = index or _Index(known[0], known[2], size)
-                        yield from compared(index, known, probes)
-                    kept = carried()
-                    if len(kept[0]) < len(known[0]):
+                        met = known_of(set(probes[0]))
+                        index = index if index and met is known else _Index(met[0], met[2], size)
+                        yield from compared(index, met, probes)
+                        index = index if met is known else None
+                    kept = known_of({group})  # whose probes may still come
+                    if kept is not known:
                         known, index = kept, None
                     probes, chars = ([], [], []), 0
                 if probe:
@@ -194,6 +195,7 @@ def near_copies(threshold: float, autojunk: bool = True, held_chars: int = HELD_
                     column.append(value)
                 chars += len(text)
         if probes[0]:
-            yield from compared(index or _Index(known[0], known[2], size), known, probes)
+            met = known_of(set(probes[0]))
+            yield from compared(index if index and met is known else _Index(met[0], met[2], size), met, probes)
 
     return run

@@ -202,7 +202,7 @@ def test_near_matches_write_no_pieces_of_texts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(memory.durable, "stored", lambda df, name: plans.append((name, df)) or keep(df, name))
     source, reviews, target = near_copies(4, 0.97)
     memory.match(rows(spark, *target), publish(spark, rows(spark, *source), *reviews)).collect()
-    assert {n for n, _ in plans} == {"open-findings", "known", "near-probes", "near-pairs"}
+    assert {n for n, _ in plans} == {"open-findings", "known", "near-pairs"}
     for name, df in plans:
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "piece" not in plan and not any("sequence(1" in x and "length" in x for x in plan.splitlines()), name
